@@ -1,0 +1,26 @@
+"""Connected components as a DataFrame loop."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import stored
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of links (a, b); root is the smallest node that can be reached.
+
+    Each round takes the smallest label among neighbours, then the label of that label, so a chain
+    of n links needs about log n rounds.  Rounds are stored, never collected.
+    """
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
+        least = labels.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "seen").alias("label"))
+        ahead = labels.select(F.col("node").alias("label"), F.col("root").alias("further"))
+        moved = stored(least.join(ahead, "label").select("node", "before", F.least("label", "further").alias("root")), "labels")
+        labels = moved.select("node", "root")
+        if moved.filter("root <> before").isEmpty():
+            return labels
