@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleforge.llm import packing, quality_votes, toxicity_fm
+from aisleforge.llm import minhash_dedup, packing, quality_votes, toxicity_fm
 from aisleforge.llm.scratch import stored
 
 ORACLE_SQL = None
@@ -28,12 +28,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_fm.score(docs, machine, keep=tuple(docs.columns)).filter(F.col("score") < 0.5).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates, and of repeated rows one."""
+    kept = minhash_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality), ("toxicity", toxicity), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality), ("toxicity", toxicity), ("near duplicates", near_duplicates), ("best-fit packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
