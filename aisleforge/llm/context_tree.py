@@ -178,39 +178,7 @@ def gram_probabilities(counts: DataFrame, depth: int) -> DataFrame:
     return told.groupBy("key", "n").agg(F.sum(F.log10(F.greatest(chance, F.lit(1e-300)))).alias("logp"))
 
 
-class HeadTable:
-    """An open-addressing table from 64-bit keys to numbers, looked up for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)))) + 2))
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.slots = np.full(1 << bits, -1, np.int32)
-        self.keys, self.values = keys.astype(np.uint64), values
-        at, left = self._home(self.keys), np.arange(len(keys), dtype=np.int32)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of several that want a slot the last one gets it
-            lost = self.slots[at] != left
-            at, left = (at[lost] + 1) & self.mask, left[lost]
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys in the table's values, -1 where missing."""
-        at = self._home(keys)
-        found = self.slots[at]
-        if not len(self.keys):
-            return found
-        wrong = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
-        while len(wrong):
-            at[wrong] = (at[wrong] + 1) & self.mask
-            found[wrong] = self.slots[at[wrong]]
-            wrong = wrong[(found[wrong] >= 0) & (self.keys[found[wrong]] != keys[wrong])]
-        return found
-
-
-def _head(table: DataFrame, most: int, value: str) -> tuple[int, HeadTable]:
+def _head(table: DataFrame, most: int, value: str) -> tuple[int, bt.KeyTable]:
     """The least count of the most frequent keys, of which there are at most `most`, and their table."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     sizes = sorted(((r[0], r[1]) for r in table.filter("n > 0").groupBy(step.alias("step")).agg(F.count("*")).collect()), reverse=True)
@@ -221,9 +189,9 @@ def _head(table: DataFrame, most: int, value: str) -> tuple[int, HeadTable]:
             break
         least = s
     if least is None:
-        return 1 << 62, HeadTable(np.zeros(0, np.uint64), np.zeros(0))
+        return 1 << 62, bt.KeyTable(np.zeros(0, np.uint64), np.zeros(0))
     rows = table.filter((F.col("n") > 0) & (step >= least)).select("key", F.col(value).cast("double").alias("v")).toArrow()
-    return least, HeadTable(rows["key"].to_numpy().view(np.uint64), rows["v"].to_numpy())
+    return least, bt.KeyTable(rows["key"].to_numpy().view(np.uint64), rows["v"].to_numpy())
 
 
 def _lists(first: np.ndarray, missing: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:

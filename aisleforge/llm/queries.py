@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, minhash_dedup, packing, quality_votes, token_counts, topk_search, toxicity_fm, wavelet_store
+from . import context_tree, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, warc_merkle, wavelet_store
 
 
 TOP_K_SQL = """
@@ -26,6 +26,23 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
 
+AUDIT_SQL = """
+WITH b AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+r AS (
+  SELECT page_id, CAST(page_id // 1024 AS BIGINT) AS file,
+    concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+      'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10),
+      h, chr(13), chr(10), chr(13), chr(10)) AS record
+  FROM b
+)
+SELECT page_id, file,
+  CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
+  CASE WHEN page_id % 97 = 5 THEN 'missing' WHEN page_id % 61 = 7 THEN 'changed' ELSE 'intact' END AS status
+FROM r
+"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,6 +55,23 @@ def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(_documents(spark, sf_dir))
 
 
+def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; round_trip says whether the text came back (marks in it count as spaces)."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = sentencepiece_scan.encode_column(docs.withColumn("wanted", F.xxhash64(F.translate("text", "\u2581", " "))), path, keep=("doc_id", "wanted"))
+    decoded = sentencepiece_scan.decode_column(encoded, path, keep=("doc_id", "wanted"))
+    return decoded.select("doc_id", "n_pieces", "pieces_crc32", (F.xxhash64("text") == F.col("wanted")).alias("round_trip"))
+
+
+def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a replica in which some records were altered, and some lost."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    lost = pages.filter(F.pmod("page_id", F.lit(97)) != 5)
+    replica = lost.withColumn("html", F.when(F.pmod("page_id", F.lit(61)) == 7, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+    return warc_merkle.audit(pages, replica)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -69,8 +103,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk_search": TOP_K_SQL}
+    return {"op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL}

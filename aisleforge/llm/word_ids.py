@@ -8,6 +8,7 @@ once per worker; texts that hold a special token's string go through it whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import repeat
 
@@ -36,56 +37,69 @@ def pieces(block: bt.Block) -> bt.Spans:
     return bt.Spans(starts, ends, bt.hash_spans(data, starts, ends), np.searchsorted(starts, block.offsets))
 
 
-class WordEncoder:
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class SpanIds:
+    """Ids of distinct spans by their hash, in one growing array; `compute` gives those of new ones."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.compute = compute
         self.known: dict[int, int] = {}
         self.flat, self.begins = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64)
-        self.n_words = self.n_ids = 0
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in encode(texts, add_special_tokens=False)]
+        self.n_spans = self.n_ids = 0
 
     def _learn(self, keys: list[int], found: list[bytes]) -> None:
-        ids = self._ids([w.decode("utf-8") for w in found])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+        flat, lengths = self.compute(found)
         while self.n_ids + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n_words + len(ids) + 1 > len(self.begins):
+        while self.n_spans + len(lengths) + 1 > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
         self.flat[self.n_ids : self.n_ids + len(flat)] = flat
-        self.begins[self.n_words + 1 : self.n_words + len(ids) + 1] = self.n_ids + np.cumsum(lengths)
-        self.known.update(zip(keys, range(self.n_words, self.n_words + len(ids)), strict=True))
+        self.begins[self.n_spans + 1 : self.n_spans + len(lengths) + 1] = self.n_ids + np.cumsum(lengths)
+        self.known.update(zip(keys, range(self.n_spans, self.n_spans + len(lengths)), strict=True))
         self.n_ids += len(flat)
-        self.n_words += len(ids)
+        self.n_spans += len(lengths)
 
-    def encode(self, block: bt.Block) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after the other, and where each text's begin."""
-        spans = pieces(block)
+    def ids(self, data: np.ndarray, spans: bt.Spans) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans one after the other, and where each text's begin."""
         hashes, at, back = np.unique(spans.hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.n_words = self.n_ids = 0
+            self.n_spans = self.n_ids = 0
         keys = hashes.tolist()
         slots = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            held = bt.LOWER[block.data].tobytes()
-            slots[new] = self.n_words + np.arange(len(new))
+            held = data.tobytes()
+            slots[new] = self.n_spans + np.arange(len(new))
             self._learn([keys[i] for i in new.tolist()], [held[a:b] for a, b in zip(spans.starts[at[new]].tolist(), spans.ends[at[new]].tolist(), strict=True)])
         of = slots[back]
         begins = self.begins[of]
         lengths = self.begins[of + 1] - begins
         ahead = np.zeros(len(of) + 1, np.int64)
         np.cumsum(lengths, out=ahead[1:])
-        ids = self.flat[np.arange(ahead[-1]) + np.repeat(begins - ahead[:-1], lengths)]
-        first = ahead[spans.first]
+        return self.flat[np.arange(ahead[-1]) + np.repeat(begins - ahead[:-1], lengths)], ahead[spans.first]
+
+
+class WordEncoder:
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spans = SpanIds(self._compute)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _compute(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids([w.decode("utf-8") for w in found])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+
+    def encode(self, block: bt.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and where each text's begin."""
+        ids, first = self.spans.ids(bt.LOWER[block.data], pieces(block))
         odd = rows_with(block, self.special)
         if len(odd):
             parts = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
