@@ -10,11 +10,16 @@
 4. What remains is confirmed on the full sets: 100 * |intersection| >= percent * |union|.
 
 No bucket is expanded into its pairs.  First every class is confirmed against the one bucket
-end (smallest or largest class id of a shared bucket) that it resembles most; that joins nearly all of a
-group.  Then only buckets that still hold several components are searched: members outside the
-bucket's largest component against all its members, in blocks of bounded size, in which numpy
-compares the packed bits and returns survivors only.  So every candidate pair whose classes
-are not yet connected is examined, whatever the bucket's size.
+end (smallest or largest class id of a shared bucket) that it resembles most.  Then only buckets
+that still hold several components are searched: members outside the bucket's largest
+component against all its members, in blocks of bounded size, in which numpy compares the packed
+bits.  For up to ROUNDS rounds each such member is confirmed against the one member of another
+component that it resembles most, which joins groups whose members resemble each other but not all one
+member.  A last search examines every pair that may reach the threshold and whose
+classes are not connected by then, so nothing is left out, whatever a bucket's size.  In buckets of more
+than SMALL members it first asks which classes have any such pair, gives those a wider
+signature (WIDE minima), and returns a pair only from the first band it shares and only if the wider estimate
+still allows the threshold: else a group of texts just below it would be returned pair by pair.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS) ** BANDS = 3e-8.
 
@@ -44,10 +49,16 @@ _LONGS = _HASHES // _PER_LONG
 #: How far below the threshold an estimate may lie: 5.5 standard deviations of _HASHES draws at 0.75.
 SLACK = 0.16
 CHUNK = 512
+ROUNDS = 3
+SMALL = 64
+#: Minima of the wider signature, and its slack: 5.5 standard deviations.
+WIDE, WIDE_SLACK = 2048, 0.065
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_WIDE_XOR = _rng.integers(0, 1 << 32, WIDE, dtype=np.uint32)
+_WIDE_TIMES = _rng.integers(0, 1 << 31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND_SALT = bt.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -62,16 +73,16 @@ def shingle_sets(block: bt.Block) -> tuple[np.ndarray, np.ndarray]:
     return hashes[fresh], np.concatenate([[0], np.cumsum(fresh)])[first]
 
 
-def minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, first: np.ndarray, xor: np.ndarray = _XOR, times: np.ndarray = _TIMES) -> np.ndarray:
     """[text, hash function] of the texts that have shingles."""
     begins = first[:-1][np.diff(first) > 0]
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    found = np.empty((_HASHES, len(begins)), np.uint32)
+    found = np.empty((len(xor), len(begins)), np.uint32)
     if len(begins):
         work = np.empty_like(short)
-        for k in range(_HASHES):
-            np.bitwise_xor(short, _XOR[k], out=work)
-            np.multiply(work, _TIMES[k], out=work)
+        for k in range(len(xor)):
+            np.bitwise_xor(short, xor[k], out=work)
+            np.multiply(work, times[k], out=work)
             np.minimum.reduceat(work, begins, out=found[k])
     return found.T
 
@@ -86,7 +97,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(mins: np.ndarray) -> np.ndarray:
-    low = ((mins * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOW_BITS)).astype(np.uint64).reshape(len(mins), _LONGS, _PER_LONG)
+    low = ((mins * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOW_BITS)).astype(np.uint64).reshape(len(mins), -1, _PER_LONG)
     return np.bitwise_or.reduce(low << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(LOW_BITS)), axis=2).view(np.int64)
 
 
@@ -96,10 +107,19 @@ def similarity(equal: Column) -> Column:
     return (equal / F.lit(float(_HASHES)) - by_chance) / (1 - by_chance)
 
 
-def _least_equal(percent: int) -> int:
+def _least_equal(percent: int, hashes: int = _HASHES, slack: float = SLACK) -> int:
     """Equal packed minima from which a pair is confirmed on full sets."""
     by_chance = 1 / (1 << LOW_BITS)
-    return int(np.floor(_HASHES * (by_chance + (1 - by_chance) * max(0.0, percent / 100 - SLACK))))
+    return int(np.floor(hashes * (by_chance + (1 - by_chance) * max(0.0, percent / 100 - slack))))
+
+
+def _equal(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """[left, right]: equal packed minima of two stacks of signatures."""
+    differ = np.zeros((len(sa), len(sb)), np.int64)
+    for k in range(sa.shape[1]):
+        x = sa[:, k, None] ^ sb[None, :, k]
+        differ += np.bitwise_count((x | x >> 1) & np.int64(_ODD_BITS))
+    return sa.shape[1] * _PER_LONG - differ
 
 
 _SIGS = [f"s{k}" for k in range(_LONGS)]
@@ -154,46 +174,116 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _unsettled_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components: members (key, cls) of buckets, roots (node, root)."""
+def _mixed(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, cls) of the buckets that hold several components, with root, main (the largest one's root), total and chunk."""
     rooted = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("total"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1")
-    packed = F.struct("cls", "root", *_SIGS)
-    held = stored(rooted.join(mixed, "key").join(classes.select("cls", *_SIGS), "cls").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / CHUNK))), "mixed-buckets")
+    held = rooted.join(mixed, "key").join(classes.select("cls", "n_shingles", *_SIGS), "cls")
+    return stored(held.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / CHUNK))), "mixed-buckets")
+
+
+def _met(held: DataFrame, packed: Column) -> DataFrame:
+    """key, left, right: each chunk of members outside the main component beside each chunk of all members of its bucket."""
     everyone = held.groupBy("key", "chunk").agg(F.collect_list(packed).alias("right")).select("key", "right")
     outside = held.filter("root <> main").groupBy("key", "chunk").agg(F.collect_list(packed).alias("left")).select("key", "left")
+    return outside.join(everyone, "key")
+
+
+def _likely_pairs(held: DataFrame, percent: int, give: str) -> DataFrame:
+    """Of the members' pairs of different components that may reach the threshold by their signatures:
+
+    give="pairs" all (a, b, equal), "best" for each left member of a chunk the likeliest, "classes" only who has one (as a = b).
+    """
     least = _least_equal(percent)
 
-    def columns(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def columns(rows: pa.StructScalar) -> tuple[np.ndarray, ...]:
         flat = rows.values
-        of = {n: np.asarray(flat.field(n)) for n in ("cls", "root", *_SIGS)}
-        return of["cls"], of["root"], np.stack([of[s] for s in _SIGS], axis=1)
+        of = {n: np.asarray(flat.field(n)) for n in ("cls", "root", "n_shingles", *_SIGS)}
+        return of["cls"], of["root"], of["n_shingles"], np.stack([of[s] for s in _SIGS], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [(np.zeros(0, np.int64),) * 3]
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                a, ra, sa = columns(left)
-                b, rb, sb = columns(right)
+                a, ra, na, sa = columns(left)
+                b, rb, nb, sb = columns(right)
                 for lo in range(0, len(a), 64):
-                    differ = np.zeros((len(a[lo : lo + 64]), len(b)), np.int64)
-                    for k in range(_LONGS):
-                        x = sa[lo : lo + 64, k, None] ^ sb[None, :, k]
-                        differ += np.bitwise_count((x | x >> 1) & np.int64(_ODD_BITS))
-                    i, j = np.nonzero((_HASHES - differ >= least) & (ra[lo : lo + 64, None] != rb[None, :]))
-                    out_a.append(np.minimum(a[lo + i], b[j]))
-                    out_b.append(np.maximum(a[lo + i], b[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                    part = slice(lo, lo + 64)
+                    small, large = np.minimum(na[part, None], nb[None, :]), np.maximum(na[part, None], nb[None, :])
+                    equal = np.where((ra[part, None] != rb[None, :]) & (100 * small >= percent * large), _equal(sa[part], sb), 0)
+                    if give == "best":
+                        j = equal.argmax(axis=1)
+                        i = np.flatnonzero(equal[np.arange(len(j)), j] >= least)
+                        j = j[i]
+                    else:
+                        i, j = np.nonzero(equal >= least)
+                    if give == "classes":
+                        who = np.unique(np.concatenate([a[lo + i], b[j]]))
+                        found.append((who, who, who))
+                    else:
+                        found.append((a[lo + i], b[j], equal[i, j].astype(np.int64)))
+                if give == "classes":
+                    found = [tuple(np.unique(np.concatenate(x)) for x in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "equal"])
+
+    packed = F.struct("cls", "root", "n_shingles", *_SIGS)
+    return _met(held, packed).select("left", "right").mapInArrow(run, "a long, b long, equal long")
+
+
+def _wide_pairs(held: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that may reach the threshold by their wide signatures (cls, wide, marks), from the first band they share."""
+    least = _least_equal(percent, WIDE, WIDE_SLACK)
+
+    def columns(rows: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        flat = rows.values
+        lists = [np.asarray(flat.field(n).flatten()).reshape(len(flat), -1) for n in ("wide", "marks")]
+        return np.asarray(flat.field("cls")), np.asarray(flat.field("root")), *lists
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 2]
+            for key, left, right in zip(batch.column("key").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                a, ra, wa, ma = columns(left)
+                b, rb, wb, mb = columns(right)
+                here = np.array([key]).astype(np.int32)[0]
+                for lo in range(0, len(a), 16):
+                    part = slice(lo, lo + 16)
+                    i, j = np.nonzero((ra[part, None] != rb[None, :]) & (_equal(wa[part], wb) >= least))
+                    i = lo + i
+                    same = ma[i] == mb[j]
+                    ours = ma[i, same.argmax(axis=1)] == here if len(i) else np.zeros(0, bool)
+                    found.append((np.minimum(a[i], b[j])[ours], np.maximum(a[i], b[j])[ours]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return _met(held.join(wide, "cls"), F.struct("cls", "root", "wide", "marks")).mapInArrow(run, "a long, b long")
+
+
+def _wide_signatures(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, wide (packed bits of WIDE minima), marks (low halves of the band keys)."""
 
-    return outside.join(everyone, "key").select("left", "right").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in bt.blocks(batch.column("text")):
+                hashes, first = shingle_sets(block)
+                bits = packed_bits(minima(hashes, first, _WIDE_XOR, _WIDE_TIMES))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, WIDE // _PER_LONG, dtype=np.int32)), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(block.lo, block.rows), lists], ["cls", "wide"])
+
+    made = texts.select("cls", "text").mapInArrow(run, "cls long, wide array<long>")
+    half = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    return made.join(classes.select("cls", half.alias("marks")), "cls")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     signed = stored(signatures(docs, text_col, id_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     groups = stored(signed.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least_id")), "classes")
-    classes = stored(signed.join(groups.select(F.col("cls").alias("row")), "row").withColumnRenamed("row", "cls").select("cls", "doc_id", "text_key", "bands", *_SIGS), "class-signatures")
+    classes = stored(signed.join(groups.select(F.col("cls").alias("row")), "row").withColumnRenamed("row", "cls").select("cls", "doc_id", "text_key", "n_shingles", "bands", *_SIGS), "class-signatures")
 
     banded = classes.select("cls", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("n > 1")
@@ -207,14 +297,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
     likely = rated.filter(F.col("equal") >= _least_equal(percent)).groupBy("cls").agg(F.max_by("end", F.struct("equal", "end")).alias("end"))
     pairs = stored(likely.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct(), "pairs")
 
-    texts = _texts(docs, classes, pairs, text_col, id_col)
-    links = stored(_confirmed(pairs, texts, percent), "confirmed")
+    links = stored(_confirmed(pairs, _texts(docs, classes, pairs, text_col, id_col), percent), "confirmed")
     roots = connected_components(links)
-    more = stored(_unsettled_pairs(members.select("key", "cls"), classes, roots, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
+    tried, shared_by = pairs, members.select("key", "cls")
+
+    def confirmed_too(found: DataFrame) -> bool:
+        nonlocal links, roots, tried
+        more = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            return False
         late = stored(_confirmed(more, _texts(docs, classes, more, text_col, id_col), percent), "confirmed")
-        if not late.isEmpty():
-            roots = connected_components(links.unionByName(late))
+        tried = tried.unionByName(more)
+        if late.isEmpty():
+            return False
+        links = links.unionByName(late)
+        roots = connected_components(links)
+        return True
+
+    for _ in range(ROUNDS):
+        held = _mixed(shared_by, classes, roots)
+        best = _likely_pairs(held, percent, "best").groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+        if not confirmed_too(_ordered(best)):
+            break
+    held = _mixed(shared_by, classes, roots)
+    rest = _ordered(_likely_pairs(held.filter(F.col("total") <= SMALL), percent, "pairs"))
+    crowded = held.filter(F.col("total") > SMALL)
+    if not crowded.isEmpty():
+        busy = stored(_likely_pairs(crowded, percent, "classes").select("a", "b").distinct(), "busy-classes")
+        wide = stored(_wide_signatures(_texts(docs, classes, busy, text_col, id_col), classes), "wide-signatures")
+        rest = _ordered(rest.unionByName(_wide_pairs(crowded, wide, percent)))
+    confirmed_too(rest)
 
     rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
