@@ -129,7 +129,9 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
                 part = slice(lo, lo + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int8)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], ["kind", "key", "n"])
 
-    made = docs.select("held_out", "__text").mapInArrow(run, "kind tinyint, key long, n long")
+    # a task counts before anything is shuffled, which pays the more the more text it has; coalescing moves no rows
+    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    made = docs.select("held_out", "__text").coalesce(max(2 * cores, parts // 4)).mapInArrow(run, "kind tinyint, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -142,40 +144,46 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(steps)
 
 
-def _bits(table: DataFrame, *kept: Column) -> DataFrame:
-    """Eight rows for each gram: its node of the deepest level and the bit decided there."""
-    symbol = F.col("key").bitwiseAND(F.lit(255))
-    context = F.shiftright("key", 8)
-    paths = [F.struct((F.shiftleft(context, 8) + F.lit(1 << j) + F.shiftright(symbol, 8 - j)).alias("node"), F.shiftright(symbol, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8)]
-    return table.select(*kept, F.explode(F.array(*paths)).alias("path")).select(*[c for c in table.columns if c in ("key", "n")], "path.node", "path.bit")
+def gram_probabilities(counts: DataFrame, depth: int) -> DataFrame:
+    """key, n, logp (log10 of the tree's probability of the symbol after its context) of each gram (key, n).
 
+    A node is a context of 0..depth bytes and the bits decided so far of the byte after it, led by a one (1..255).
+    Grams are dealt out by context once; the deepest level's nodes need no further exchange.
+    """
+    grams_of = counts.select("key", "n", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol")).repartition("context")
+    paths = [F.struct((F.lit(1 << j) + F.shiftright("symbol", 8 - j)).cast("int").alias("decided"), F.shiftright("symbol", 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8)]
+    bits = grams_of.select("context", "n", F.inline(F.array(*paths)))
+    level = bits.groupBy("context", "decided").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1")).withColumn("below", F.lit(None).cast("double"))
 
-def gram_probabilities(counts: DataFrame, depth: int) -> DataFrame:
-    """key, n, logp (log10 of the tree's probability of the symbol after its context) of each gram."""
-    bits = _bits(counts.select("key", "n"), F.col("key"), F.col("n"))
-    level = bits.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1")).withColumn("below", F.lit(None).cast("double"))
-    levels = []
-    for d in range(depth, -1, -1):
+    def measured(level: DataFrame) -> DataFrame:
+        """Adds weighted (log of the weighted probability), share (of the node's own estimate in it) and one (the own estimate of a 1)."""
         own = _log_gamma(F.col("n0") + F.lit(0.5)) + _log_gamma(F.col("n1") + F.lit(0.5)) - _log_gamma((F.col("n0") + F.col("n1") + 1).cast("double")) - float(np.log(np.pi))
-        level = level.withColumn("own", own)
-        gap = F.col("below") - F.col("own")
-        mixed = F.log(F.lit(0.5)) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap)))
-        level = level.withColumn("weighted", F.coalesce(mixed, F.col("own"))).withColumn("share", F.coalesce(1 / (1 + F.exp(gap)), F.lit(1.0)))
-        level = level.withColumn("one", (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1))
-        if d:
-            kept = F.shiftright("node", 8).bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
-            level = level.withColumn("parent", F.shiftleft(kept, 8) + F.col("node").bitwiseAND(F.lit(255)))
-        level = stored(level, f"tree-level-{d}")
-        levels.append(level)
+        level = level.withColumn("own", own).withColumn("gap", F.col("below") - F.col("own"))
+        mixed = F.log(F.lit(0.5)) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs("gap")))
+        return level.withColumns({"weighted": F.coalesce(mixed, F.col("own")), "share": F.coalesce(1 / (1 + F.exp("gap")), F.lit(1.0)), "one": (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)})
+
+    def parent(d: int) -> Column:
+        return F.col("context").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
+
+    levels = {}
+    for d in range(depth, -1, -1):
+        levels[d] = stored(level, f"tree-level-{d}")
         if d:
-            level = level.groupBy(F.col("parent").alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-    top = levels[-1].select("node", (F.col("share") * F.col("one")).alias("p"), (1 - F.col("share")).alias("rest"))
-    for level in reversed(levels[:-1]):
-        above = top.select(F.col("node").alias("parent"), F.col("p").alias("above"), "rest")
-        top = level.join(above, "parent").select("node", (F.col("above") + F.col("rest") * F.col("share") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("share"))).alias("rest"))
-    told = bits.join(top.select("node", "p"), "node")
-    chance = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return told.groupBy("key", "n").agg(F.sum(F.log10(F.greatest(chance, F.lit(1e-300)))).alias("logp"))
+            level = measured(levels[d]).groupBy(parent(d).alias("context"), "decided").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+    top = measured(levels[0]).select("context", "decided", (F.col("share") * F.col("one")).alias("p"), (1 - F.col("share")).alias("rest"))
+    for d in range(1, depth + 1):
+        above = top.select(F.col("context").alias("parent"), "decided", F.col("p").alias("above"), "rest")
+        joined = measured(levels[d]).withColumn("parent", parent(d)).join(above, ["parent", "decided"])
+        top = joined.select("context", "decided", (F.col("above") + F.col("rest") * F.col("share") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("share"))).alias("rest"))
+    # at most 255 nodes a context
+    chances = top.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("decided", "p"))).alias("chances"))
+    told = grams_of.join(chances, "context")
+    logp = F.lit(0.0)
+    for j in range(8):
+        one = F.try_element_at("chances", (F.lit(1 << j) + F.shiftright("symbol", 8 - j)).cast("int"))
+        chance = F.when(F.shiftright("symbol", 7 - j).bitwiseAND(F.lit(1)) == 1, one).otherwise(1 - one)
+        logp = logp + F.log10(F.greatest(chance, F.lit(1e-300)))
+    return told.select("key", "n", logp.alias("logp"))
 
 
 def _head(table: DataFrame, most: int, value: str) -> tuple[int, bt.KeyTable]:
