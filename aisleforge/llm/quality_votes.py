@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import stored
+from .scratch import extended, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -111,8 +111,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], [*keep, *COUNTS])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + [f"{c} long" for c in COUNTS]
-    return source.mapInArrow(run, ", ".join(fields))
+    return source.mapInArrow(run, extended(source, keep, ", ".join(f"{c} long" for c in COUNTS)))
 
 
 def votes(counts: DataFrame) -> DataFrame:

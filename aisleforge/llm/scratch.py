@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def extended(source: DataFrame, keep: tuple[str, ...] | list[str], more: str) -> T.StructType:
+    """The schema of the kept columns and further ones given as DDL."""
+    return T.StructType([*source.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])

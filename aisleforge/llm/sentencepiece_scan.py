@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from .scratch import extended
 from .word_ids import SpanIds
 
 SPACE_MARK = "▁"
@@ -222,8 +223,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", keep: tupl
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], [*keep, "pieces"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
-    return source.mapInArrow(run, ", ".join([*fields, "pieces array<int>"]))
+    return source.mapInArrow(run, extended(source, keep, "pieces array<int>"))
 
 
 def decode_column(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -237,5 +237,4 @@ def decode_column(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64())], [*keep, "text", "n_pieces", "pieces_crc32"])
 
     source = encoded.select(*keep, "pieces")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
-    return source.mapInArrow(run, ", ".join([*fields, "text string", "n_pieces long", "pieces_crc32 long"]))
+    return source.mapInArrow(run, extended(source, keep, "text string, n_pieces long, pieces_crc32 long"))

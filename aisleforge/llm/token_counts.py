@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from .scratch import extended
 
 #: Distinct chunks a worker remembers before it starts afresh; it bounds memory, not results.
 REMEMBERED = 1 << 21
@@ -191,5 +192,4 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 counts = count_block(block, path, pattern)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(np.diff(block.offsets)), pa.array(counts.astype(np.int64))], [*keep, "n_bytes", "n_tokens"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
-    return source.mapInArrow(run, ", ".join([*fields, "n_bytes long", "n_tokens long"]))
+    return source.mapInArrow(run, extended(source, keep, "n_bytes long, n_tokens long"))

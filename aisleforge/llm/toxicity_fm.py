@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from .scratch import extended
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = (5, 7)
@@ -145,8 +146,7 @@ def _terms_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(buckets))], [*keep, "terms"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
-    return source.mapInArrow(run, ", ".join([*fields, "terms array<int>"]))
+    return source.mapInArrow(run, extended(source, keep, "terms array<int>"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 6000) -> Machine:
@@ -178,5 +178,4 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(held.scores(*block_terms(block)))], [*keep, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
-    return source.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return source.mapInArrow(run, extended(source, keep, "score double"))
