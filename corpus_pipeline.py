@@ -17,21 +17,26 @@ from aisleforge.llm.scratch import stored
 ORACLE_SQL = None
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row in one column beside its text, so that no further column can clash with an operator's own."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose rules' votes make good quality likelier than not and that pass the base rule."""
-    return quality_votes.judge(docs, keep=tuple(docs.columns)).filter("kept").select(*docs.columns)
+    return quality_votes.judge(_rows(docs), keep=("row",)).filter("kept").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score under 0.5; learns from the labelled rows still there."""
     machine = toxicity_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_fm.score(docs, machine, keep=tuple(docs.columns)).filter(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity_fm.score(_rows(docs), machine, keep=("row",)).filter(F.col("score") < 0.5).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates, and of repeated rows one."""
-    kept = minhash_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
