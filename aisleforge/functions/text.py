@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Characters and combining marks of the Thai block.
@@ -35,19 +36,19 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition, trimmed; null becomes empty. Spark has no function for it."""
     return text.fillna("").map(lambda t: unicodedata.normalize("NFC", t).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; null becomes empty."""
     return text.fillna("").map(lambda t: unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity ratio of two strings, 0 if one is null; use it on distinct pairs."""
     known: dict[tuple[str, str], float] = {}

@@ -8,30 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CROP_CONTEXT = T.StructType.fromDDL(
-    "image_id string, crop_id string, bbox array<double>, type string, ocr_raw string, ocr_tokens array<string>, "
-    "logo_candidates array<struct<brand:string,score:double>>, scores map<string,double>"
-)
-CONSOLIDATED = T.StructType.fromDDL(
-    "image_id string, crop_id string, brand_th string, brand_en string, product_th string, product_en string, variant_th string, variant_en string, "
-    "category_th string, category_en string, subcategory_th string, subcategory_en string, size_raw string, size_normalized string, signage_type string, "
-    "private_label string, placement string, facings_hint int, conf_logo double, conf_ocr double, conf_detector double, conf_overall double, review_needed boolean, notes string"
-)
-IMAGE_METADATA = T.StructType.fromDDL(
-    "image_id string, file_path string, file_name string, file_size bigint, dimensions struct<width:int,height:int>, quality_score double, sharpness double, "
-    "brightness_mean double, phash string, crop_count int, duplicate_group_id string, is_duplicate boolean, canonical_image_id string"
-)
-PRODUCT = T.StructType.fromDDL(
-    "brand string, origin string, confidence double, classification_method string, matched_patterns string, product_type string, category string, image_id string, "
-    "duplicate_count bigint, source_images string, supermarket string"
-)
-DETECTION = T.StructType.fromDDL(
-    "image_id string, brand string, type string, approx_count int, conf_fused double, source_data struct<vision:struct<brand:string,type:string,approx_count:int,"
-    "confidence:double,keywords:array<string>>,ocr_tokens:array<string>,logos:array<struct<brand:string,conf:double>>>"
-)
-EYE_LEVEL = T.StructType.fromDDL(
-    "image_id string, brand string, type string, eye_level_zone string, y_position double, is_premium_zone boolean, shelf_tier int, brand_origin string, category string, duplicate_count bigint"
-)
+#: Schemas by name, as DDL; a session is needed only when one is asked for.
+SCHEMAS = {
+    "crop_context": (
+        "image_id string, crop_id string, bbox array<double>, type string, ocr_raw string, ocr_tokens array<string>, "
+        "logo_candidates array<struct<brand:string,score:double>>, scores map<string,double>"
+    ),
+    "consolidated": (
+        "image_id string, crop_id string, brand_th string, brand_en string, product_th string, product_en string, variant_th string, variant_en string, "
+        "category_th string, category_en string, subcategory_th string, subcategory_en string, size_raw string, size_normalized string, signage_type string, "
+        "private_label string, placement string, facings_hint int, conf_logo double, conf_ocr double, conf_detector double, conf_overall double, review_needed boolean, notes string"
+    ),
+    "image_metadata": (
+        "image_id string, file_path string, file_name string, file_size bigint, dimensions struct<width:int,height:int>, quality_score double, sharpness double, "
+        "brightness_mean double, phash string, crop_count int, duplicate_group_id string, is_duplicate boolean, canonical_image_id string"
+    ),
+    "product": (
+        "brand string, origin string, confidence double, classification_method string, matched_patterns string, product_type string, category string, image_id string, "
+        "duplicate_count bigint, source_images string, supermarket string"
+    ),
+    "detection": (
+        "image_id string, brand string, type string, approx_count int, conf_fused double, source_data struct<vision:struct<brand:string,type:string,approx_count:int,"
+        "confidence:double,keywords:array<string>>,ocr_tokens:array<string>,logos:array<struct<brand:string,conf:double>>>"
+    ),
+    "eye_level": (
+        "image_id string, brand string, type string, eye_level_zone string, y_position double, is_premium_zone boolean, shelf_tier int, brand_origin string, category string, duplicate_count bigint"
+    ),
+}
+
+
+def schema(name: str) -> T.StructType:
+    return T.StructType.fromDDL(SCHEMAS[name])
+
 
 # fixed values: allowed values of the enumerations, and names a column may go by
 ALLOWED = {

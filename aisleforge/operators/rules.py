@@ -196,3 +196,29 @@ def private_cascade(df: DataFrame, key: str, sources: dict[str, Column], pattern
     close = open_texts.crossJoin(F.broadcast(listed)).withColumn("r", sequence_ratio("text", "pattern")).filter(F.col("r") >= fuzzy).groupBy("text").agg(F.max(F.struct(F.col("r"), -F.col("ord"), F.col("b"))).alias("x"))
     all_hits = known.join(close, "text", "left").withColumn("hit", F.coalesce("hit", F.when(F.col("x").isNotNull(), F.struct(F.col("x.r").alias("c"), F.lit("fuzzy_match").alias("m"), F.col("x.b").alias("b"))))).filter("hit IS NOT NULL")
     return all_hits.groupBy(key).agg(F.min_by(F.struct("hit", "source"), "pos").alias("x")).select(key, F.col("x.hit.b").alias("private_brand"), F.col("x.hit.c").alias("confidence"), F.col("x.hit.m").alias("method"), F.col("x.source").alias("source"))
+
+
+def partial_map(c: Column, table: dict[str, str], rest: Column) -> Column:
+    """The table's value for the text itself, else of the first entry that holds it or is held by it, else `rest`."""
+    low = F.lower(F.trim(c))
+    found = F.coalesce(*[F.when(low == k, v) for k, v in table.items()])
+    part = F.coalesce(*[F.when(low.contains(k) | ((F.length(low) > 0) & F.lit(k).contains(low)), v) for k, v in table.items()])
+    return F.coalesce(found, part, rest)
+
+
+def accepted(df: DataFrame, category: str, proposed: str) -> DataFrame:
+    """Takes proposals only if the category already occurs in the data."""
+    there = df.select(F.col(category).alias("__there")).filter("__there IS NOT NULL").distinct()
+    joined = df.join(there, F.col(proposed) == F.col("__there"), "left")
+    return joined.withColumn(category, F.coalesce("__there", category)).drop("__there")
+
+
+def keyword_join(df: DataFrame, key: str, text: Column, keywords: DataFrame) -> DataFrame:
+    """key, category, hits, share: how many of each category's keywords (category, word) the text holds.
+
+    A containment test has no key to join on; the keyword table is a dimension that Spark broadcasts under its size limit.
+    """
+    totals = keywords.groupBy("category").agg(F.count("*").alias("total"))
+    met = df.select(key, F.lower(text).alias("__text")).join(keywords, F.col("__text").contains(F.col("word")))
+    counted = met.groupBy(key, "category").agg(F.count("*").alias("hits"))
+    return counted.join(totals, "category").select(key, "category", "hits", F.round(F.col("hits") / F.col("total"), 6).alias("share"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import scores, text
 from .components import connected_components
+from .scratch import stored
 
 
 def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
@@ -29,11 +30,16 @@ def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFra
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) with a < b of all pairs of sets with a token each, at or above `least`."""
+    """(a, b, jaccard) with a < b of all pairs of sets with a token each, at or above `least`.
+
+    The sets are read four times, so they are written once instead of being computed from texts each time.
+    """
+    sets = stored(sets.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t")), "token-sets")
+    id_col, tokens = "id", "t"
     keys = prefixes(sets, id_col, tokens, least)
     other = keys.withColumnRenamed("id", "b")
     candidates = keys.withColumnRenamed("id", "a").join(other, "token").filter("a < b").select("a", "b").distinct()
-    held = sets.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t"))
+    held = sets
     rated = candidates.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return rated.select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
 

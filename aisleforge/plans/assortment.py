@@ -317,3 +317,27 @@ def private_brands(spark, sf_dir):
     d = products(spark, sf_dir).select("part", "brand", "product_type").distinct()
     sources = {"brand": F.array("brand"), "name": F.array("product_type"), "tokens": F.split("product_type", " ")}
     return R.private_cascade(d, "part", sources, [("brand#1", "house one"), ("large plate", "house plate"), ("gizmo", "house gizmo")], fuzzy=0.9)
+
+
+DIRECT = {"red bolt": "Fasteners", "bolt": "Bolts", "gear": "Machines", "small": "Minor"}
+
+
+@query("SELECT DISTINCT product_type, CASE product_type WHEN 'red bolt' THEN 'Fasteners' WHEN 'bolt' THEN 'Bolts' WHEN 'gear' THEN 'Machines' WHEN 'small' THEN 'Minor' ELSE CASE " + " ".join(f"WHEN contains(product_type, '{k}') OR contains('{k}', product_type) THEN '{v}'" for k, v in DIRECT.items()) + " ELSE 'Other Products' END END AS category FROM products")
+def direct_partial_map(spark, sf_dir):
+    d = products(spark, sf_dir).select("product_type").distinct()
+    return d.select("product_type", R.partial_map(F.col("product_type"), DIRECT, F.lit("Other Products")).alias("category"))
+
+
+@query(f"WITH d AS (SELECT DISTINCT product_type, category, CASE {_words(T.REPAIRS, 'lower(product_type)')} ELSE CASE WHEN contains(product_type, 'hot') THEN 'LARGE' END END AS p FROM products) SELECT product_type, CASE WHEN p IN (SELECT category FROM d) THEN p ELSE category END AS category FROM d")
+def accepted_rules(spark, sf_dir):
+    """Two tiers of rules whose result counts only if that category exists already."""
+    d = products(spark, sf_dir).select("product_type", "category").distinct()
+    proposed = F.coalesce(R.first_match(F.col("product_type"), T.REPAIRS), F.when(F.col("product_type").contains("hot"), "LARGE"))
+    return R.accepted(d.withColumn("p", proposed), "category", "p").select("product_type", "category")
+
+
+@query("WITH k(category, word) AS (VALUES " + ", ".join(f"('{r.category}', '{w}')" for r in T.CATALOG for w in r.words) + "), t AS (SELECT category, count(*) AS total FROM k GROUP BY 1), d AS (SELECT DISTINCT product_type FROM products), h AS (SELECT product_type, k.category, count(*) AS hits FROM d JOIN k ON contains(lower(product_type), word) GROUP BY ALL) SELECT product_type, h.category, hits, round(hits / total::DOUBLE, 6) AS share FROM h JOIN t ON h.category = t.category")
+def keyword_theta_join(spark, sf_dir):
+    words = spark.createDataFrame([(r.category, w) for r in T.CATALOG for w in r.words], "category string, word string")
+    d = products(spark, sf_dir).select("product_type").distinct()
+    return R.keyword_join(d, "product_type", F.col("product_type"), words)
