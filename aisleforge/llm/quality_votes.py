@@ -45,15 +45,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: name: (family, ratio, whether a high ratio is bad, vote good up to (from), vote bad from (up to)); between them a rule abstains.
 RULES = {
     "length": ("length", lambda c: c("n_words"), False, 100, 50),
-    "word_length_low": ("length", lambda c: c("word_chars") / c("n_words"), False, 3.5, 2.5),
-    "word_length_high": ("length", lambda c: c("word_chars") / c("n_words"), True, 9.0, 12.0),
-    "symbols": ("symbols", lambda c: c("n_symbols") / c("n_words"), True, 0.05, 0.2),
-    "bare_words": ("symbols", lambda c: c("n_bare") / c("n_words"), True, 0.1, 0.2),
-    "letters": ("symbols", lambda c: c("n_alpha") / c("n_bytes"), False, 0.85, 0.75),
-    "dup_lines": ("repetition", lambda c: c("n_dup_lines") / c("n_lines"), True, 0.1, 0.5),
-    "repeats": ("repetition", lambda c: c("n_repeat_words") / c("n_words"), True, 0.2, 0.5),
-    "capitals": ("shouting", lambda c: c("n_upper") / c("n_alpha"), True, 0.15, 0.4),
-    "loudness": ("shouting", lambda c: c("n_loud") / c("n_words"), True, 0.05, 0.3),
+    "word_length_low": ("length", lambda c: F.try_divide(c("word_chars"), c("n_words")), False, 3.5, 2.5),
+    "word_length_high": ("length", lambda c: F.try_divide(c("word_chars"), c("n_words")), True, 9.0, 12.0),
+    "symbols": ("symbols", lambda c: F.try_divide(c("n_symbols"), c("n_words")), True, 0.05, 0.2),
+    "bare_words": ("symbols", lambda c: F.try_divide(c("n_bare"), c("n_words")), True, 0.1, 0.2),
+    "letters": ("symbols", lambda c: F.try_divide(c("n_alpha"), c("n_bytes")), False, 0.85, 0.75),
+    "dup_lines": ("repetition", lambda c: F.try_divide(c("n_dup_lines"), c("n_lines")), True, 0.1, 0.5),
+    "repeats": ("repetition", lambda c: F.try_divide(c("n_repeat_words"), c("n_words")), True, 0.2, 0.5),
+    "capitals": ("shouting", lambda c: F.try_divide(c("n_upper"), c("n_alpha")), True, 0.15, 0.4),
+    "loudness": ("shouting", lambda c: F.try_divide(c("n_loud"), c("n_words")), True, 0.05, 0.3),
 }
 #: The latent classes: good texts, and one kind of bad ones for each family of rules.
 CLASSES = ("good", *dict.fromkeys(r[0] for r in RULES.values()))
