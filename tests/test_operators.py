@@ -163,10 +163,10 @@ def test_origin_cascade(spark):
 
 
 def test_private_cascade(spark):
-    rows = [(1, "Uno", "x", []), (2, "Acme", "tian-garden", []), (3, "Acme", "soap", ["garden1"]), (4, "Acme", "gardem", []), (5, "Junobright", "soap", ["a"])]
+    rows = [(1, "Oak", "x", []), (2, "Acme", "long-garden", []), (3, "Acme", "soap", ["garden1"]), (4, "Acme", "gardem", []), (5, "Soakbright", "soap", ["a"])]
     df = spark.createDataFrame(rows, "id int, brand string, name string, tokens array<string>")
-    found = {r.id: (r.private_brand, r.method, r.source) for r in R.private_cascade(df, "id", {"brand": F.array("brand"), "name": F.array("name"), "tokens": F.col("tokens")}, [("uno", "UNO"), ("garden", "GARDEN")], fuzzy=0.83).collect()}
-    assert found == {1: ("UNO", "exact_match", "brand"), 3: ("GARDEN", "word_boundary_match", "tokens"), 4: ("GARDEN", "fuzzy_match", "name")}
+    found = {r.id: (r.private_brand, r.method, r.source) for r in R.private_cascade(df, "id", {"brand": F.array("brand"), "name": F.array("name"), "tokens": F.col("tokens")}, [("oak", "OAK"), ("garden", "GARDEN")], fuzzy=0.83).collect()}
+    assert found == {1: ("OAK", "exact_match", "brand"), 3: ("GARDEN", "word_boundary_match", "tokens"), 4: ("GARDEN", "fuzzy_match", "name")}
 
 
 def test_topics(spark):
