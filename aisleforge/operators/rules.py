@@ -148,7 +148,8 @@ def origin_cascade(df: DataFrame, brands: DataFrame, brand: str = "brand", hints
         raise ValueError(f"more than {MOST_LISTED} listed brands; fuzzy matching is meant for a list written by people")
     ratios = text.best_ratios([n for n, local in known if local], [n for n, local in known if not local])
     rated = rest.filter(share == 0).select("name", ratios("name").alias("x")).select("name", F.col("x.first").alias("l"), F.col("x.second").alias("i"))
-    close = rated.select("name", F.when((l >= fuzzy) & (l > i), "local").when(i >= fuzzy, "international").alias("o"), F.when((l >= fuzzy) & (l > i), l).otherwise(i).alias("c"), F.lit("fuzzy_match").alias("m")).filter("o IS NOT NULL")
+    near, far = F.col("l"), F.col("i")
+    close = rated.select("name", F.when((near >= fuzzy) & (near > far), "local").when(far >= fuzzy, "international").alias("o"), F.when((near >= fuzzy) & (near > far), near).otherwise(far).alias("c"), F.lit("fuzzy_match").alias("m")).filter("o IS NOT NULL")
     found = exact.unionByName(script).unionByName(close)
     joined = df.withColumn("__name", F.lower(F.trim(F.col(brand)))).join(found.withColumnRenamed("name", "__name"), "__name", "left")
     missing = F.col("__name").isNull() | F.col("__name").isin("", "unknown")
