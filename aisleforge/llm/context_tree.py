@@ -41,7 +41,11 @@ HEAD_GRAMS = 1 << 20
 WORD, GRAM = 0, 1
 #: The key of a text's end among the words.
 END_KEY = np.uint64(0x5E4D_3C2B_1A09_F8E7)
-_MERGE_AT = 1 << 22
+_MERGE_AT = 1 << 21
+#: Of a block; a gram takes eight times the bytes of its text.
+BLOCK_BYTES = 1 << 20
+#: Input from which a counting task is large enough.
+TASK_BYTES = 4 << 20
 
 
 def held_out(doc_id: Column, parts: int = 10) -> Column:
@@ -89,8 +93,10 @@ class _Tally:
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([np.zeros(0, np.uint64), *self.keys])
         counts = np.concatenate([np.zeros(0, np.int64), *self.counts])
-        order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = [], []
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        del order
         begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         keys, counts = keys[begins], np.add.reduceat(counts, begins) if len(keys) else counts
         self.keys, self.counts, self.size = [keys], [counts], len(keys)
@@ -113,7 +119,7 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
         word_tally, gram_tally = _Tally(), _Tally()
         for batch in batches:
             trains = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column("__text"), BLOCK_BYTES):
                 train = trains[block.lo : block.hi]
                 words = bt.words(block, lower=True)
                 word_tally.add(*_counted(words.hashes[np.repeat(train, np.diff(words.first))]))
@@ -128,10 +134,15 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
             for lo in range(0, len(keys), 1 << 18):
                 part = slice(lo, lo + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int8)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], ["kind", "key", "n"])
-
-    # a task counts before anything is shuffled, which pays the more the more text it has; coalescing moves no rows
-    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    made = docs.select("held_out", "__text").coalesce(max(2 * cores, parts // 4)).mapInArrow(run, "kind tinyint, key long, n long")
+            tally.__init__()
+        del keys, counts
+        bt.release()
+
+    # a task counts before anything is shuffled, which pays only if it has some text; coalescing small splits moves no rows
+    held = docs.select("held_out", "__text")
+    size = int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    made = held.coalesce(int(min(tasks, 1 << 20))).mapInArrow(run, "kind tinyint, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -228,7 +239,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, likely = head_words.value, head_grams.value
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column("__text"), BLOCK_BYTES):
                 spans = bt.words(block, lower=True)
                 # words and each text's end
                 ends = spans.first[1:]
@@ -247,6 +258,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth
                 odd = _lists(byte_first, ~seen, byte_keys)
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("held_out"), pa.array(np.diff(first)), pa.array(bt.sums(known.astype(np.int64), first)), pa.array(bt.sums(logs, first)), pa.array(bt.sums(likes, byte_first)), pa.array(np.diff(byte_first)), *rare, *odd], ["doc_id", "held_out", "n_tokens", "known", "base", "likes", "n_model_bytes", "words", "word_counts", "grams", "gram_counts"])
+        bt.release()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     made = source.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, likes double, n_model_bytes long, words array<long>, word_counts array<int>, grams array<long>, gram_counts array<int>")
