@@ -13,13 +13,13 @@ No bucket is expanded into its pairs.  First every class is confirmed against th
 end (smallest or largest class id of a shared bucket) that it resembles most.  Then only buckets
 that still hold several components are searched: members outside the bucket's largest
 component against all its members, in blocks of bounded size, in which numpy compares the packed
-bits.  For up to ROUNDS rounds each such member is confirmed against the one member of another
+bits.  In ROUNDS rounds each such member is confirmed against the one member of another
 component that it resembles most, which joins groups whose members resemble each other but not all one
 member.  A last search examines every pair that may reach the threshold and whose
-classes are not connected by then, so nothing is left out, whatever a bucket's size.  In buckets of more
-than SMALL members it first asks which classes have any such pair, gives those a wider
-signature (WIDE minima), and returns a pair only from the first band it shares and only if the wider estimate
-still allows the threshold: else a group of texts just below it would be returned pair by pair.
+classes are not connected by then, so nothing is left out, whatever a bucket's size.  Members of
+buckets with more than SMALL members get a wider signature (WIDE minima) for it, and such a pair is returned
+only from the first band it shares and only if the wider estimate still allows the
+threshold: else a group of texts just below it would be returned pair by pair.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS) ** BANDS = 3e-8.
 
@@ -49,7 +49,7 @@ _LONGS = _HASHES // _PER_LONG
 #: How far below the threshold an estimate may lie: 5.5 standard deviations of _HASHES draws at 0.75.
 SLACK = 0.16
 CHUNK = 512
-ROUNDS = 3
+ROUNDS = 1
 SMALL = 64
 #: Minima of the wider signature, and its slack: 5.5 standard deviations.
 WIDE, WIDE_SLACK = 2048, 0.065
@@ -97,7 +97,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(mins: np.ndarray) -> np.ndarray:
-    low = ((mins * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOW_BITS)).astype(np.uint64).reshape(len(mins), -1, _PER_LONG)
+    low = ((mins * np.uint32(0x9E3779B1)) >> np.uint32(32 - LOW_BITS)).astype(np.uint64).reshape(len(mins), mins.shape[1] // _PER_LONG, _PER_LONG)
     return np.bitwise_or.reduce(low << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(LOW_BITS)), axis=2).view(np.int64)
 
 
@@ -146,6 +146,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 sums = [bt.sums(bt.mix(hashes + np.uint64(k)), first).view(np.int64) for k in (1, 2)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, block.rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("text_key"), pa.array(np.diff(first)), *map(pa.array, sums), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(_LONGS))], ["doc_id", "text_key", "n_shingles", "f1", "f2", "bands", *_SIGS])
+        bt.release()
 
     return source.mapInArrow(run, "doc_id long, text_key long, n_shingles long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _SIGS))
 
@@ -190,10 +191,10 @@ def _met(held: DataFrame, packed: Column) -> DataFrame:
     return outside.join(everyone, "key")
 
 
-def _likely_pairs(held: DataFrame, percent: int, give: str) -> DataFrame:
-    """Of the members' pairs of different components that may reach the threshold by their signatures:
+def _likely_pairs(held: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b, equal): the members' pairs of different components that may reach the threshold by their signatures.
 
-    give="pairs" all (a, b, equal), "best" for each left member of a chunk the likeliest, "classes" only who has one (as a = b).
+    With `best` for each left member of a batch only the likeliest.
     """
     least = _least_equal(percent)
 
@@ -212,20 +213,19 @@ def _likely_pairs(held: DataFrame, percent: int, give: str) -> DataFrame:
                     part = slice(lo, lo + 64)
                     small, large = np.minimum(na[part, None], nb[None, :]), np.maximum(na[part, None], nb[None, :])
                     equal = np.where((ra[part, None] != rb[None, :]) & (100 * small >= percent * large), _equal(sa[part], sb), 0)
-                    if give == "best":
+                    if best:
                         j = equal.argmax(axis=1)
                         i = np.flatnonzero(equal[np.arange(len(j)), j] >= least)
                         j = j[i]
                     else:
                         i, j = np.nonzero(equal >= least)
-                    if give == "classes":
-                        who = np.unique(np.concatenate([a[lo + i], b[j]]))
-                        found.append((who, who, who))
-                    else:
-                        found.append((a[lo + i], b[j], equal[i, j].astype(np.int64)))
-                if give == "classes":
-                    found = [tuple(np.unique(np.concatenate(x)) for x in zip(*found, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "equal"])
+                    found.append((a[lo + i], b[j], equal[i, j].astype(np.int64)))
+            a, b, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+            if best:
+                order = np.lexsort((b, equal, a))
+                order = order[np.append(np.diff(a[order]) != 0, True)] if len(order) else order
+                a, b, equal = a[order], b[order], equal[order]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(equal)], ["a", "b", "equal"])
 
     packed = F.struct("cls", "root", "n_shingles", *_SIGS)
     return _met(held, packed).select("left", "right").mapInArrow(run, "a long, b long, equal long")
@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
     likely = rated.filter(F.col("equal") >= _least_equal(percent)).groupBy("cls").agg(F.max_by("end", F.struct("equal", "end")).alias("end"))
     pairs = stored(likely.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct(), "pairs")
 
-    links = stored(_confirmed(pairs, _texts(docs, classes, pairs, text_col, id_col), percent), "confirmed")
+    # texts of the classes that share a band with another one; all confirmation reads this table
+    texts = _texts(docs, classes, members.select("cls").distinct(), text_col, id_col)
+    links = stored(_confirmed(pairs, texts, percent), "confirmed")
     roots = connected_components(links)
     tried, shared_by = pairs, members.select("key", "cls")
 
@@ -306,7 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
         more = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             return False
-        late = stored(_confirmed(more, _texts(docs, classes, more, text_col, id_col), percent), "confirmed")
+        late = stored(_confirmed(more, texts, percent), "confirmed")
         tried = tried.unionByName(more)
         if late.isEmpty():
             return False
@@ -316,15 +318,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
 
     for _ in range(ROUNDS):
         held = _mixed(shared_by, classes, roots)
-        best = _likely_pairs(held, percent, "best").groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+        best = _likely_pairs(held, percent, best=True).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
         if not confirmed_too(_ordered(best)):
             break
     held = _mixed(shared_by, classes, roots)
-    rest = _ordered(_likely_pairs(held.filter(F.col("total") <= SMALL), percent, "pairs"))
+    rest = _ordered(_likely_pairs(held.filter(F.col("total") <= SMALL), percent, best=False))
     crowded = held.filter(F.col("total") > SMALL)
     if not crowded.isEmpty():
-        busy = stored(_likely_pairs(crowded, percent, "classes").select("a", "b").distinct(), "busy-classes")
-        wide = stored(_wide_signatures(_texts(docs, classes, busy, text_col, id_col), classes), "wide-signatures")
+        wide = stored(_wide_signatures(texts.join(crowded.select("cls").distinct(), "cls"), classes), "wide-signatures")
         rest = _ordered(rest.unionByName(_wide_pairs(crowded, wide, percent)))
     confirmed_too(rest)
 
@@ -336,11 +337,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(cls, text) of the classes in pairs."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(cls, text) of the wanted classes."""
     chosen = classes.join(wanted, "cls").select("cls", F.col("doc_id").alias("__id"), "text_key")
     text = F.col(text_col).cast("string")
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     met = held.join(chosen, (held.text_key == chosen.text_key) & held.doc_id.eqNullSafe(F.col("__id")))
-    return stored(met.select("cls", "text"), "pair-texts")
+    # repeated rows are one class
+    return stored(met.select("cls", "text").dropDuplicates(["cls"]), "pair-texts")
