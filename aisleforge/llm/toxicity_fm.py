@@ -7,9 +7,10 @@ so two terms that are harmless alone can count together, which additive weights
 
 The machine is fitted on a bounded sample of labelled rows: at most `per_class`
 rows of either label, those with the smallest hash of doc_id, with both labels
-weighted alike: a score of 0.5 says that the terms speak for neither.  Only the
-`features` buckets that tell the labels apart best take part, so the model has a fixed
-size.  Scoring reads every whole text once and needs no shuffle.
+weighted alike: a score of 0.5 says that the terms speak for neither.  Buckets take
+part that tell the labels apart, alone or in a pair with another one, at most
+`features` of them, so the model has a fixed size.  Pairs are compared among the
+`features` most frequent buckets.  Scoring reads every whole text once and needs no shuffle.
 
 Defined results: a null text counts as empty and gets the intercept's score; a null
 doc_id is never held out; repeated rows get equal scores; without labelled rows of
@@ -31,6 +32,7 @@ from .scratch import extended
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = (5, 7)
+LEAST_TEXTS = 3
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
 
@@ -83,7 +85,54 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int = 8192, least: float = 3.5, factors: int = 8, epochs: int = 40, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Machine:
+def contrast(a: np.ndarray, n_a: np.ndarray | int, b: np.ndarray, n_b: np.ndarray | int) -> np.ndarray:
+    """How far the shares a / n_a and b / n_b are apart, in standard errors: angles, so that empty cells need no care."""
+    angles = [np.arcsin(np.sqrt((x + 0.375) / (n + 0.75))) for x, n in ((a, n_a), (b, n_b))]
+    return 2 * (angles[0] - angles[1]) / np.sqrt(1 / (n_a + 0.5) + 1 / (n_b + 0.5))
+
+
+def paired_terms(texts: list[np.ndarray], labels: np.ndarray, count: np.ndarray, over: float, most: int) -> np.ndarray:
+    """Buckets that tell the labels apart in a pair as neither does alone, best first.
+
+    For two terms, the share of toxic texts among those with both is held against the share among those with
+    only the one and against that among those with only the other; the weaker contrast counts, so a term that is
+    telling by itself does not bring in what stands beside it.  All pairs of the `most` most frequent buckets are
+    compared, in blocks of dense counts of a fixed size.
+    """
+    terms = np.argsort(-count, kind="stable")[:most]
+    terms = np.sort(terms[count[terms] >= LEAST_TEXTS])
+    m, step = len(terms), 128
+    at = np.full(BUCKETS, -1, np.int32)
+    at[terms] = np.arange(m)
+    sides = [np.zeros((int(k.sum()), m), bool) for k in (labels, ~labels)]
+    for side, of in zip(sides, (labels, ~labels), strict=True):
+        for row, i in enumerate(np.flatnonzero(of)):
+            side[row, at[texts[i]][at[texts[i]] >= 0]] = True
+    alone = [side.sum(axis=0, dtype=np.float32) for side in sides]
+    best = np.zeros(m, np.float32)
+    for lo in range(0, m, step):
+        hi = min(lo + step, m)
+        both = [np.zeros((hi - lo, m - lo), np.float32) for _ in sides]
+        for side, total in zip(sides, both, strict=True):
+            for k in range(0, len(side), 1024):
+                part = side[k : k + 1024, lo:].astype(np.float32)
+                total += part[:, : hi - lo].T @ part
+        r, c = np.nonzero((both[0] + both[1] + 0.5) * np.float32(np.pi**2) > over**2)  # by the formula, no pair of fewer texts can be over
+        p, n = both[0][r, c], both[0][r, c] + both[1][r, c]
+        r, c = r + lo, c + lo
+        z = []
+        for x in (r, c):
+            p_rest, n_rest = alone[0][x] - p, alone[0][x] + alone[1][x] - n
+            z.append(contrast(p, n, p_rest, n_rest))
+        z = np.where((z[0] > 0) == (z[1] > 0), np.minimum(np.abs(z[0]), np.abs(z[1])), 0)
+        z[r >= c] = 0
+        np.maximum.at(best, r, z)
+        np.maximum.at(best, c, z)
+    order = np.argsort(-best, kind="stable")
+    return terms[order[best[order] > over]]
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int = 8192, least: float = 3.5, pairs_over: float = 6.0, factors: int = 8, epochs: int = 40, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss over the buckets of each text; share: of toxic rows, the score where nothing can be learned."""
     place = np.full(BUCKETS, -1, np.int32)
     labels = np.asarray(labels, bool)
@@ -93,11 +142,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int
         return Machine(place, base, np.zeros(0), np.zeros((0, factors)))
     pos = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y]), minlength=BUCKETS)
     neg = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if not y]), minlength=BUCKETS)
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_neg - neg + 0.5))
-    told = np.where(pos + neg >= 3, np.abs(odds / error), 0)
-    chosen = np.sort(np.argsort(-told, kind="stable")[:features])
-    chosen = chosen[told[chosen] > least]
+    told = np.where(pos + neg >= LEAST_TEXTS, np.abs(contrast(pos, n_pos, neg, n_neg)), 0)
+    found = np.argsort(-told, kind="stable")[:features]
+    found = found[told[found] > least]
+    together = paired_terms(texts, labels, pos + neg, pairs_over, features)
+    # where there is not room for all, either kind has half of it
+    half = features // 2
+    chosen = np.union1d(found[: max(half, features - len(together))], together[: max(half, features - len(found))])
     place[chosen] = np.arange(len(chosen))
     n = len(chosen)
     # one spare feature pads the rows to rectangles; it never has weight

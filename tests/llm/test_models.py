@@ -265,6 +265,26 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert right.mean() > 0.95
 
 
+def test_training_learns_a_pair_of_harmless_terms(spark):
+    """With the production's defaults: either word is as frequent in clean as in toxic texts, and it is both or neither that is toxic."""
+    rng = random.Random(3)
+    filler = ["".join(rng.choice("etaoinshr") for _ in range(4)) for _ in range(300)]
+    texts, labels = [], []
+    for k in range(1600):
+        both, one = k % 4 == 0, k % 4 == 1
+        words = ["north", "river"] if both else ["north"] if one else ["river"] if k % 4 == 2 else []
+        toxic = both or k % 4 == 3
+        words += rng.sample(filler, 12)
+        rng.shuffle(words)
+        texts.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    docs = frame(spark, texts)
+    machine = toxicity_fm.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = toxicity_fm.score(docs, machine).filter(toxicity_fm.held_out(F.col("doc_id"))).collect()
+    right = [(r["score"] >= 0.5) == bool(labels[r["doc_id"]][2]) for r in held]
+    assert len(right) > 200 and sum(right) > 0.95 * len(right)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "x"), (2, "")])
     labels = spark.createDataFrame([(1, 1, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
