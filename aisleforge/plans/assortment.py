@@ -23,8 +23,7 @@ def _store(p, name):
 SELECT coalesce(a.brand, b.brand) AS brand, coalesce(a.n, 0) AS store_a, coalesce(b.n, 0) AS store_b, coalesce(a.n, 0) + coalesce(b.n, 0) AS total FROM a FULL OUTER JOIN b ON a.brand = b.brand""")
 def outer_align(spark, sf_dir):
     p = products(spark, sf_dir).filter("brand IS NOT NULL")
-    a = _store(p, "store_a").filter("confidence >= 0.97 AND line > 5").groupBy("brand").agg(F.count("*").alias("n"))
-    b = _store(p, "store_b").filter("line < 3 AND supplier % 9 = 1 AND part % 11 = 3").groupBy("brand").agg(F.count("*").alias("n"))
+    a, b = (_store(p, s).groupBy("brand").agg(F.count("*").alias("n")) for s in ("store_a", "store_b"))
     return J.aligned(a, b, "brand", ("store_a", "store_b"))
 
 
@@ -65,7 +64,7 @@ LINE = "coalesce(brand, '?') || '/' || product_type"
 
 def _two_sets(spark, sf_dir, key):
     p = products(spark, sf_dir).withColumn("k", key)
-    return _store(p, "store_a").filter("line = 7"), _store(p, "store_b").filter("line = 6 AND confidence > 0.95")
+    return _store(p, "store_a"), _store(p, "store_b")
 
 
 def _line():
