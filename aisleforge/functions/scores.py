@@ -64,11 +64,10 @@ def fused_embedding(image: Column, text: Column, share: float = 0.7) -> Column:
 def hash_embedding(text: Column, dims: int = 128) -> Column:
     """48 bytes of three salted MD5 sums, padded to `dims` and scaled to length 1."""
 
-    def sixteen(salt: int) -> Column:
-        digest = F.md5(F.concat(text, F.lit(f"_{salt}")))
-        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-
-    return unit(F.concat(sixteen(0), sixteen(1), sixteen(2), F.array_repeat(F.lit(0.0), dims - 48)))
+    digests = F.concat(*[F.md5(F.concat(text, F.lit(f"_{salt}"))) for salt in range(3)])
+    # values bound by a lambda are computed once, so a long text is not hashed again for every element
+    padded = F.transform(F.array(digests), lambda d: F.concat(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double")), F.array_repeat(F.lit(0.0), dims - 48)))
+    return F.transform(padded, lambda v: unit(v))[0]
 
 
 def product_similarity(cos: Column, jac: Column, same_kind: Column, same_image: Column, conf_a: Column, conf_b: Column) -> Column:

@@ -190,13 +190,13 @@ def dup_stats(spark, sf_dir):
 @query(None)
 def product_duplicates(spark, sf_dir):
     """Products of one brand and type on different images, by hash embeddings and tokens."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("brand"), F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("image"), F.lit(0.95).alias("confidence"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.substring("text", 1, 40)).alias("embedding"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("brand"), F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("image"), F.lit(0.95).alias("confidence"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
     return S.duplicate_products(d)
 
 
 @query(None)
 def image_clusters(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.substring("text", 1, 40)).alias("embedding"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
     return S.image_clusters(d)
 
 

@@ -1,5 +1,8 @@
 """Queries that once read only part of their rows, against brute force on small tables with planted cases."""
 
+import hashlib
+import math
+import re
 from collections import Counter
 
 import pytest
@@ -35,3 +38,40 @@ def test_sets_are_those_of_the_whole_stores(spark, both_stores):
     assert QUERIES["overlap_band"](spark, "").first().differentiation == "Low"
     want = {(k, "both") for k in a & b} | {(k, "only_a") for k in a - b} | {(k, "only_b") for k in b - a}
     assert {(r.k, r.side) for r in QUERIES["brand_set_operations"](spark, "").collect()} == want
+
+
+HEAD = "a heading that all of these documents share word for word: "
+WORDS = [f"word{k}" for k in range(60)]
+#: 1 and 2 are equal; 3 shares 1's heading and most of its words; 4 and 5 are near copies with another start; 6 is alone
+TEXTS = {1: HEAD + " ".join(WORDS), 2: HEAD + " ".join(WORDS), 3: HEAD + " ".join(WORDS[:45]), 4: "once " + " ".join(WORDS[::-1]) + " twice", 5: "twice " + " ".join(WORDS[::-1]) + " once", 6: "nothing like the rest"}
+
+
+def embedded(text):
+    v = [b for salt in range(3) for b in hashlib.md5(f"{text}_{salt}".encode()).digest()]
+    return [x / math.sqrt(sum(y * y for y in v)) for x in v]
+
+
+def linked(near):
+    """(node: root) of the texts for which near(cosine, jaccard) holds, by brute force."""
+    root = {k: k for k in TEXTS}
+    for a in TEXTS:
+        for b in TEXTS:
+            words = [set(re.findall(r"[a-z0-9]{2,}", TEXTS[k])) for k in (a, b)]
+            cosine = sum(x * y for x, y in zip(embedded(TEXTS[a]), embedded(TEXTS[b]), strict=True))
+            if a < b and near(cosine, len(words[0] & words[1]) / len(words[0] | words[1])):
+                old, new = sorted((root[a], root[b]), reverse=True)
+                root = {k: new if r == old else r for k, r in root.items()}
+    grouped = Counter(root.values())
+    return {k: r for k, r in root.items() if grouped[r] > 1}
+
+
+@pytest.mark.parametrize(
+    "name, near",
+    [("product_duplicates", lambda cosine, jaccard: 1 - (0.4 * cosine + 0.3 * jaccard + 0.3) * 0.95 <= 0.15), ("image_clusters", lambda cosine, jaccard: 1 - (0.6 * cosine + 0.4 * jaccard) <= 0.2)],
+)
+def test_embeddings_are_those_of_whole_texts(spark, tmp_path, name, near):
+    rows = [(k, t, "en", "web", len(t)) for k, t in TEXTS.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = linked(near)
+    assert {1, 2, 4, 5} <= set(want) and 6 not in want
+    assert {r.node: r.root for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
