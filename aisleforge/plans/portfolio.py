@@ -77,8 +77,7 @@ EDGES = {
 
 
 def _lines(spark, sf_dir):
-    """Few rows per key, so that all buckets occur."""
-    return products(spark, sf_dir).filter("line = 7").select("supermarket", F.concat_ws("/", "brand", "product_type").alias("line_name"))
+    return products(spark, sf_dir).select("supermarket", F.concat_ws("/", "brand", "product_type").alias("line_name"))
 
 
 for _name, _edges in EDGES.items():

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from aisleforge.plans import QUERIES, assortment
+from aisleforge.plans import QUERIES, assortment, portfolio
 
 PRODUCTS = "supermarket string, brand string, product_type string, category string, line int, confidence double, supplier int, part int"
 #: every line number, confidence and supplier in both stores; Oak and Fir, and two categories, in one store only
@@ -84,3 +84,12 @@ def test_image_duplicates_compare_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {(r.a, r.b, r.criteria) for r in QUERIES["image_duplicates"](spark, str(tmp_path)).collect()}
     assert found == {(101, 4101, 2), (101, 12101, 2), (4101, 12101, 2)}
+
+
+@pytest.mark.parametrize("name", sorted(portfolio.EDGES))
+def test_buckets_hold_every_line(spark, monkeypatch, name):
+    """Keys of 1 to 25 rows, on line numbers other than 7 too."""
+    rows = [("store_a", f"B{n}", "tea", k % 7 + 1) for n in range(1, 26) for k in range(n)]
+    monkeypatch.setattr(portfolio, "products", lambda session, sf_dir: session.createDataFrame(rows, "supermarket string, brand string, product_type string, line int"))
+    want = {label: sum(lo <= n <= (hi or 25) for n in range(1, 26)) for label, lo, hi in portfolio.EDGES[name]}
+    assert {r.bucket: r["keys"] for r in QUERIES[name](spark, "").collect()} == want
