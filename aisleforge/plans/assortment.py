@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import scores
 from ..operators import measures as M
 from ..operators import relations as J
@@ -308,14 +309,14 @@ def mapping_methods(spark, sf_dir):
 def brand_origins(spark, sf_dir):
     brands = spark.createDataFrame(T.BRANDS, "brand string, origin string")
     d = products(spark, sf_dir).select("brand", "product_type").distinct().drop("origin")
-    return R.origin_cascade(d, brands, hints="product_type", fuzzy=0.95)
+    return R.origin_cascade(d, brands, hints="product_type", fuzzy=Config.of(spark).fuzzy_origin)
 
 
 @query(None)
 def private_brands(spark, sf_dir):
     d = products(spark, sf_dir).select("part", "brand", "product_type").distinct()
     sources = {"brand": F.array("brand"), "name": F.array("product_type"), "tokens": F.split("product_type", " ")}
-    return R.private_cascade(d, "part", sources, [("brand#1", "house one"), ("large plate", "house plate"), ("gizmo", "house gizmo")], fuzzy=0.9)
+    return R.private_cascade(d, "part", sources, [("brand#1", "house one"), ("large plate", "house plate"), ("gizmo", "house gizmo")], fuzzy=Config.of(spark).fuzzy_private)
 
 
 DIRECT = {"red bolt": "Fasteners", "bolt": "Bolts", "gear": "Machines", "small": "Minor"}

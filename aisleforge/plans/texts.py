@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import parsing, scores, text
 from ..operators import measures as M
 from ..operators import similarity as S
@@ -201,7 +202,7 @@ def image_clusters(spark, sf_dir):
 
 @query(None)
 def brand_consolidation(spark, sf_dir):
-    return S.leader_clusters(products(spark, sf_dir).withColumn("brand", F.concat_ws(" ", "brand", "product_type")), 0.9)
+    return S.leader_clusters(products(spark, sf_dir).withColumn("brand", F.concat_ws(" ", "brand", "product_type")), Config.of(spark).brand_merge_ratio)
 
 
 @query(None)

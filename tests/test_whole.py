@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from aisleforge.plans import QUERIES, assortment, portfolio
+from aisleforge.plans import QUERIES, assortment, portfolio, texts
 
 PRODUCTS = "supermarket string, brand string, product_type string, category string, line int, confidence double, supplier int, part int"
 #: every line number, confidence and supplier in both stores; Oak and Fir, and two categories, in one store only
@@ -93,3 +93,15 @@ def test_buckets_hold_every_line(spark, monkeypatch, name):
     monkeypatch.setattr(portfolio, "products", lambda session, sf_dir: session.createDataFrame(rows, "supermarket string, brand string, product_type string, line int"))
     want = {label: sum(lo <= n <= (hi or 25) for n in range(1, 26)) for label, lo, hi in portfolio.EDGES[name]}
     assert {r.bucket: r["keys"] for r in QUERIES[name](spark, "").collect()} == want
+
+
+def test_names_match_at_the_configured_ratios(spark, monkeypatch):
+    """Ratios between the configured ones and those the queries once had: Brand#203 to Brand#20 0.94, grand#1 to brand#1 0.857, Nova Gold tea to Nova Golt teas 0.89."""
+    rows = [(1, "Brand#203", "jam", 3), (2, "Nova Gold", "tea", 2), (3, "Nova Golt", "teas", 1), (4, "Grand#1", "soap", 1)]
+    for plans in (assortment, texts):
+        monkeypatch.setattr(plans, "products", lambda session, sf_dir: session.createDataFrame(rows, "part int, brand string, product_type string, n int"))
+    origins = {r.brand: (r.origin, r.origin_method) for r in QUERIES["brand_origins"](spark, "").collect()}
+    assert origins["Brand#203"] == ("international", "fuzzy_match")
+    assert {r.part: r.private_brand for r in QUERIES["private_brands"](spark, "").collect()}.get(4) == "house one"
+    leaders = {r.brand: r.leader for r in QUERIES["brand_consolidation"](spark, "").collect()}
+    assert leaders["Nova Gold tea"] == leaders["Nova Golt teas"] == "Nova Golt teas"
