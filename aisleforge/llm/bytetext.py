@@ -213,3 +213,50 @@ class KeyTable:
             found[wrong] = self.slots[at[wrong]]
             wrong = wrong[(found[wrong] >= 0) & (self.keys[found[wrong]] != keys[wrong])]
         return found
+
+
+class KeyIndex:
+    """Numbers 64-bit keys in the order in which they are added; looked up for whole arrays, memory follows the keys."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self._sized(12)
+
+    def _sized(self, bits: int) -> None:
+        held = self.keys[: self.n] if self.n else np.zeros(0, np.uint64)
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots, self.keys = np.full(1 << bits, -1, np.int32), np.zeros(1 << (bits - 1), np.uint64)
+        self.keys[: self.n] = held
+        self._place(np.arange(self.n, dtype=np.int32))
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _place(self, left: np.ndarray) -> None:
+        at = self._home(self.keys[left])
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several that want a slot the last one gets it
+            lost = self.slots[at] != left
+            at, left = (at[lost] + 1) & self.mask, left[lost]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, -1 of those not added."""
+        at = self._home(keys)
+        found = self.slots[at]
+        wrong = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(found[wrong] >= 0) & (self.keys[found[wrong]] != keys[wrong])]
+        return found
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers new keys, which must differ from each other and from those held."""
+        new = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        if self.n + len(keys) > len(self.keys):
+            self._sized(int(np.ceil(np.log2(self.n + len(keys)))) + 2)
+        self.keys[new] = keys
+        self.n += len(keys)
+        self._place(new)
+        return new

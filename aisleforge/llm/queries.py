@@ -73,7 +73,7 @@ def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every text; round_trip says whether the text came back (marks in it count as spaces)."""
+    """The library's ids of every text, and the text decoded from them; round_trip says whether it came back (marks in it count as spaces)."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = sentencepiece_scan.encode_column(docs.withColumn("wanted", F.xxhash64(F.translate("text", "\u2581", " "))), path, keep=("doc_id", "wanted"))

@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,20 +146,22 @@ class SpanCounter:
     """Sums a value of each span over the texts; values of distinct spans are kept by hash."""
 
     def __init__(self, compute: Callable[[list[bytes]], np.ndarray]):
-        self.compute, self.known = compute, {}
+        self.compute, self.known, self.held = compute, bt.KeyIndex(), np.zeros(1 << 12, np.int32)
 
     def values(self, block: bt.Block, spans: bt.Spans) -> np.ndarray:
         hashes, at, back = np.unique(spans.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        keys = hashes.tolist()
-        found = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(found < 0)
+        if self.known.n > REMEMBERED:
+            self.__init__(self.compute)
+        slots = self.known.find(hashes)
+        new = np.flatnonzero(slots < 0)
         if len(new):
-            held = block.data.tobytes()
-            found[new] = self.compute([held[a:b] for a, b in zip(spans.starts[at[new]].tolist(), spans.ends[at[new]].tolist(), strict=True)])
-            self.known.update(zip([keys[i] for i in new.tolist()], found[new].tolist(), strict=True))
-        return found[back]
+            data = block.data.tobytes()
+            found = self.compute([data[a:b] for a, b in zip(spans.starts[at[new]].tolist(), spans.ends[at[new]].tolist(), strict=True)])
+            slots[new] = self.known.add(hashes[new])
+            while self.known.n > len(self.held):
+                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+            self.held[slots[new]] = found
+        return self.held[slots[back]].astype(np.int64)
 
 
 @lru_cache(maxsize=2)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 
@@ -42,41 +41,45 @@ class SpanIds:
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.compute = compute
-        self.known: dict[int, int] = {}
-        self.flat, self.begins = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64)
-        self.n_spans = self.n_ids = 0
+        self._forget()
 
-    def _learn(self, keys: list[int], found: list[bytes]) -> None:
+    def _forget(self) -> None:
+        self.known = bt.KeyIndex()
+        self.flat, self.begins, self.n_ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64), 0
+
+    def _learn(self, keys: np.ndarray, found: list[bytes]) -> np.ndarray:
         flat, lengths = self.compute(found)
+        n = self.known.n
         while self.n_ids + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n_spans + len(lengths) + 1 > len(self.begins):
+        while n + len(lengths) + 1 > len(self.begins):
             self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
         self.flat[self.n_ids : self.n_ids + len(flat)] = flat
-        self.begins[self.n_spans + 1 : self.n_spans + len(lengths) + 1] = self.n_ids + np.cumsum(lengths)
-        self.known.update(zip(keys, range(self.n_spans, self.n_spans + len(lengths)), strict=True))
+        self.begins[n + 1 : n + len(lengths) + 1] = self.n_ids + np.cumsum(lengths)
         self.n_ids += len(flat)
-        self.n_spans += len(lengths)
+        return self.known.add(keys)
 
-    def ids(self, data: np.ndarray, spans: bt.Spans) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the spans one after the other, and where each text's begin."""
+    def per_span(self, data: np.ndarray, spans: bt.Spans) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans one after the other, and where each span's begin (one more entry than spans)."""
         hashes, at, back = np.unique(spans.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.n_spans = self.n_ids = 0
-        keys = hashes.tolist()
-        slots = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if self.known.n > REMEMBERED or self.n_ids > 8 * REMEMBERED:
+            self._forget()
+        slots = self.known.find(hashes)
         new = np.flatnonzero(slots < 0)
         if len(new):
             held = data.tobytes()
-            slots[new] = self.n_spans + np.arange(len(new))
-            self._learn([keys[i] for i in new.tolist()], [held[a:b] for a, b in zip(spans.starts[at[new]].tolist(), spans.ends[at[new]].tolist(), strict=True)])
+            slots[new] = self._learn(hashes[new], [held[a:b] for a, b in zip(spans.starts[at[new]].tolist(), spans.ends[at[new]].tolist(), strict=True)])
         of = slots[back]
         begins = self.begins[of]
         lengths = self.begins[of + 1] - begins
         ahead = np.zeros(len(of) + 1, np.int64)
         np.cumsum(lengths, out=ahead[1:])
-        return self.flat[np.arange(ahead[-1]) + np.repeat(begins - ahead[:-1], lengths)], ahead[spans.first]
+        return self.flat[np.arange(ahead[-1]) + np.repeat(begins - ahead[:-1], lengths)], ahead
+
+    def ids(self, data: np.ndarray, spans: bt.Spans) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans one after the other, and where each text's begin."""
+        found, ahead = self.per_span(data, spans)
+        return found, ahead[spans.first]
 
 
 class WordEncoder:

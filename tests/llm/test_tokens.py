@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -165,49 +166,68 @@ def test_plan_is_a_packing_close_to_the_bound(counts):
     assert plan.bins <= max(1.5 * total / 100 + 1, over_half + 1.5 * total / 100 + 1)
 
 
-def brute_force(vocabulary, text):
-    """Best piece lengths by the plain recurrence over whole text."""
-    scores = {vocabulary.pieces[i]: float(vocabulary.table.values[k]) for k, i in enumerate(vocabulary.ids.tolist())}
-    best, last = [0.0] + [-1e30] * len(text), [0] * (len(text) + 1)
-    for j in range(1, len(text) + 1):
-        for k in range(min(j, vocabulary.longest), 0, -1):
-            s = scores.get(text[j - k : j], vocabulary.unknown if k == 1 else None)
-            if s is not None and best[j - k] + s > best[j]:
-                best[j], last[j] = best[j - k] + s, k
-    return best[-1]
+def pieces_of(held, chunk=None, limit=bt.BLOCK_BYTES):
+    vocabulary, found = sentencepiece_scan.vocabulary(PIECE), []
+    for block in bt.blocks(pa.array(held, pa.string()), limit):
+        ids, first = vocabulary.encode(block, chunk)
+        found += [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+    return found
 
 
-def score_of(vocabulary, ids):
-    place = {int(i): float(vocabulary.table.values[k]) for k, i in enumerate(vocabulary.ids)}
-    return [place.get(int(i)) for i in ids]
+GIANT = ["abcdefgh" * 700, "zq" * 4000, "thanedble" * 900, "a" * 15_000, "日本語です" * 1500, "ab " * 9000, " " * 9000, "x" + "▁" * 5000 + "y", "1234567890" * 900, "😀é" * 3000, "the end of it\n" * 1000]
 
 
-def test_pieces_are_the_best_segmentation():
+@pytest.mark.parametrize("chunk", [None, 128, 300])
+def test_pieces_equal_the_library(chunk):
+    """Hostile and giant texts, whatever the chunks are; each text over a chunk goes through the scan."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    held = [*texts(), *GIANT]
     vocabulary = sentencepiece_scan.vocabulary(PIECE)
-    held = [t for t in texts() if t.isascii() and "\n" not in t and "\t" not in t and "\r" not in t and "\x1c" not in t][:300] + ["abcdefgh" * 100, "zq" * 400, "thanedble" * 90]
-    for block in bt.blocks(pa.array(held)):
-        ids, first = vocabulary.encode(block)
-        for k, text in enumerate(held[block.lo : block.hi]):
-            mine = ids[first[k] : first[k + 1]]
-            marked = ("▁" + text.replace(" ", "▁")) if text else ""
-            found = score_of(vocabulary, mine)
-            assert None not in found and sum(found) == pytest.approx(brute_force(vocabulary, marked), abs=1e-6)
-
-
-def test_pieces_equal_the_library_in_unigram_mode():
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    model = pb.ModelProto()
-    with open(PIECE, "rb") as file:
-        model.ParseFromString(file.read())
-    model.trainer_spec.model_type = 1
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    vocabulary.n_chunked = 0
+    assert pieces_of(held, chunk) == [library.encode(t) for t in held]
+    assert vocabulary.n_chunked == sum(len(t.encode()) + 1 > (chunk or sentencepiece_scan.CHUNK) for t in held if t)
+
+
+def test_pieces_of_documents_equal_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    held = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     vocabulary = sentencepiece_scan.vocabulary(PIECE)
-    held = ["hello world", "The quick brown fox", "a  b", "", "supermarket assortment"]
-    for block in bt.blocks(pa.array(held)):
-        ids, first = vocabulary.encode(block)
-        assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [library.encode(t) for t in held]
+    vocabulary.n_chunked = 0
+    assert pieces_of(held) == [library.encode(t) for t in held]
+    assert vocabulary.n_chunked == sum(len(t.encode()) + 1 > sentencepiece_scan.CHUNK for t in held) > 50
+
+
+@given(st.lists(st.text(max_size=400), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_any_text(held):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    held = [t.encode("utf-8", "ignore").decode() for t in held]
+    assert pieces_of(held, 128) == [library.encode(t) for t in held]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    held = ["".join(random.Random(k).choice("etaoinshrdlu ") for _ in range(300)) for k in range(40)]
+    want = pieces_of(held)
+    monkeypatch.setattr(sentencepiece_scan, "PAIRS", 50)
+    monkeypatch.setattr(word_ids, "REMEMBERED", 20)
+    sentencepiece_scan.vocabulary.cache_clear()
+    assert pieces_of(held, limit=600) == want
+
+
+def test_only_one_segmentation_fits():
+    """By brute force over all cuts of short words: exactly one has compatible neighbours only."""
+    vocabulary = sentencepiece_scan.vocabulary(PIECE)
+    place = {vocabulary.pieces[i]: k for k, i in enumerate(vocabulary.ids.tolist())}
+    for word in ["▁theatre", "ababab", "▁▁▁▁x", "aaaaaa", "needless"]:
+        ways = []
+        for mask in range(1 << (len(word) - 1)):
+            cuts = [0, *(k + 1 for k in range(len(word) - 1) if mask >> k & 1), len(word)]
+            parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+            if all(p in place for p in parts):
+                at = np.array([place[p] for p in parts])
+                if vocabulary.compatible(at[:-1], at[1:]).all():
+                    ways.append(parts)
+        assert len(ways) == 1, (word, ways)
 
 
 def test_scan_is_associative():
@@ -217,6 +237,7 @@ def test_scan_is_associative():
     for m in stack[1:]:
         want.append((want[-1][:, :, None] + m[None, :, :]).max(axis=1))
     assert np.allclose(sentencepiece_scan.prefix_scan(stack), np.stack(want))
+    assert np.allclose(sentencepiece_scan.suffix_scan(stack)[0], want[-1]) and np.allclose(sentencepiece_scan.suffix_scan(stack)[-1], stack[-1])
 
 
 def test_sentencepiece_round_trip(docs):
@@ -246,4 +267,14 @@ def test_queries_on_the_small_tables(spark, small):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(held), crc(held))
         start += len(held)
     check_packing(queries.op10_best_fit_packing(spark, small).collect(), list(docs.items()), 4096, lambda t: word.encode(t or "", add_special_tokens=False).ids + [1])
-    assert all(r["round_trip"] for r in queries.op3_sentencepiece_scan(spark, small).collect())
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for r in queries.op3_sentencepiece_scan(spark, small).collect():
+        held = pieces.encode(docs[r["doc_id"]])
+        assert (r["n_pieces"], r["pieces_crc32"], r["round_trip"]) == (len(held), crc(held), True)
+
+
+def test_decoding_odd_ids(spark):
+    """Bytes that are no UTF-8, control and unknown ids, nulls."""
+    rows = [(1, [3 + 0xC3]), (2, [1, 0, 2]), (3, None), (4, []), (5, [3 + 0xC3, 3 + 0xA9])]
+    found = sentencepiece_scan.decode_column(spark.createDataFrame(rows, "doc_id long, pieces array<int>"), PIECE).collect()
+    assert {r["doc_id"]: (r["text"], r["n_pieces"]) for r in found} == {1: ("\ufffd", 1), 2: ("\u2047 ", 3), 3: ("", 0), 4: ("", 0), 5: ("é", 2)}
