@@ -65,13 +65,12 @@ def extended(source: DataFrame, keep: tuple[str, ...] | list[str], more: str) ->
     return T.StructType([*source.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])
 
 
-def joined_apart(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def joined_apart(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     """Inner join of stored rows with a table of one row per key, where a few keys may hold most of the rows.
 
     Rows of such keys, fewer than HOT, meet a broadcast part of the table; the others are shuffled as usual.
     """
     most = rows.count() // HOT
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(key)
-    frequent = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
-    others = rows.join(F.broadcast(hot), key, "left_anti")
-    return rows.join(frequent, key).unionByName(others.join(table, key))
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).select(*keys))
+    frequent = F.broadcast(table.join(hot, list(keys), "left_semi"))
+    return rows.join(frequent, list(keys)).unionByName(rows.join(hot, list(keys), "left_anti").join(table, list(keys)))
