@@ -12,7 +12,8 @@ table (not the corpus) is what reaches the driver.
 
 Defined results: a null text counts as an empty one; a text without words has
 zero counts and fails the base rule; repeated rows are judged row by row; an
-empty table gives an empty result; other columns are passed over.
+empty table gives an empty result; other columns are passed over, and kept ones named
+like an output give way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import extended, stored
+from ..operators.scratch import extended, stored
+from .kept import with_text
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -42,6 +44,9 @@ _IS_LOUD[[0x21, 0x3F]] = True  # ! ?
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha", "n_bytes", "n_loud", "n_bare")
 
+#: Columns that `judge` makes.
+OWN = (*COUNTS, "votes", "logs", "quality", "base_failed", "kept")
+
 #: name: (family, ratio, whether a high ratio is bad, vote good up to (from), vote bad from (up to)); between them a rule abstains.
 RULES = {
     "length": ("length", lambda c: c("n_words"), False, 100, 50),
@@ -102,11 +107,11 @@ def block_counts(block: bt.Block) -> dict[str, np.ndarray]:
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and COUNTS of each row's text."""
-    source = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    source, keep, name = with_text(docs, text_col, keep, OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column(name)):
                 found = block_counts(block)
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], [*keep, *COUNTS])

@@ -18,7 +18,8 @@ Memory follows the block of texts (a fixed size, or one text), never the square
 the pieces that can cross one border, units and chunks are traced in slices of SLICE characters.
 
 Defined results: a null text counts as empty, which has no pieces; a character without a piece
-becomes its UTF-8 bytes' pieces; repeated rows are encoded row by row; an empty table gives no rows.
+becomes its UTF-8 bytes' pieces; repeated rows are encoded row by row; an empty table gives no rows; kept columns
+named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import extended
+from ..operators.scratch import extended
+from .kept import with_text
 from .word_ids import SpanIds
 
 SPACE_MARK = "▁"
@@ -513,11 +515,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and `pieces`, the ids of each whole text."""
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source, keep, name = with_text(docs, text_col, keep, ["pieces"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column(name)):
                 ids, first = vocabulary(path).encode(block)
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], [*keep, "pieces"])
@@ -528,6 +530,8 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", keep: tupl
 
 def decode_column(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, `text`, n_pieces and pieces_crc32 (of the ids as little-endian 32-bit integers)."""
+    keep = [c for c in keep if c.lower() not in ("text", "n_pieces", "pieces_crc32", "pieces")]
+    source = encoded.select(*keep, "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -547,5 +551,4 @@ def decode_column(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts.cast(pa.string()), pa.array(sizes), pa.array(np.array(crc, np.int64))], [*keep, "text", "n_pieces", "pieces_crc32"])
         bt.release()
 
-    source = encoded.select(*keep, "pieces")
     return source.mapInArrow(run, extended(source, keep, "text string, n_pieces long, pieces_crc32 long"))

@@ -12,7 +12,7 @@ worker and then found by their 64-bit hash.
 
 Defined results: a null text counts as empty (no tokens); a special token's string
 inside a text is that one token, as in the library's default; repeated rows are
-counted row by row.
+counted row by row; kept columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import extended
+from ..operators.scratch import extended
+from .kept import with_text
 
 #: Distinct chunks a worker remembers before it starts afresh; it bounds memory, not results.
 REMEMBERED = 1 << 21
@@ -184,11 +184,11 @@ def count_block(block: bt.Block, path: str, pattern: str) -> np.ndarray:
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_bytes (UTF-8) and n_tokens of each whole text. path: of the vocabulary, on every executor."""
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source, keep, name = with_text(docs, text_col, keep, ["n_bytes", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column(name)):
                 kept = batch.slice(block.lo, block.rows)
                 counts = count_block(block, path, pattern)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(np.diff(block.offsets)), pa.array(counts.astype(np.int64))], [*keep, "n_bytes", "n_tokens"])

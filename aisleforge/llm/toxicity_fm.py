@@ -7,14 +7,18 @@ so two terms that are harmless alone can count together, which additive weights
 
 The machine is fitted on a bounded sample of labelled rows: at most `per_class`
 rows of either label, those with the smallest hash of doc_id, with both labels
-weighted alike: a score of 0.5 says that the terms speak for neither.  Buckets take
-part that tell the labels apart, alone or in a pair with another one, at most
-`features` of them, so the model has a fixed size.  Pairs are compared among the
-`features` most frequent buckets.  Scoring reads every whole text once and needs no shuffle.
+weighted alike; then the intercept is moved by the log odds of the labels, so a score of 0.5
+says that toxic is as likely as not.  Buckets take part that tell the labels apart, alone or in a
+pair with another one, at most `features` of them, so the model has a fixed size.  Pairs are compared
+among the `features` most frequent buckets.  Counts per bucket are made by the executors; the driver
+gets those of the sample (at most BUCKETS) and, per sampled row, the buckets that may take part (at
+most 2 * `features`).  Scoring reads every whole text once and needs no shuffle.
 
 Defined results: a null text counts as empty and gets the intercept's score; a null
-doc_id is never held out; repeated rows get equal scores; without labelled rows of
-both kinds every text scores the share of toxic labels (0 without labels).
+doc_id is never held out; an id labelled both ways is toxic; of rows with one id the text with
+the smallest hash is learned; repeated rows get equal scores; without labelled rows of both kinds, or without a
+bucket that tells them apart, every text scores the share of toxic labels (0 without labels).
+Kept columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import extended
+from ..operators.scratch import extended, forget, stored
+from .kept import with_text
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = (5, 7)
 LEAST_TEXTS = 3
+FEATURES, LEAST = 8192, 3.5
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
 
@@ -132,23 +138,30 @@ def paired_terms(texts: list[np.ndarray], labels: np.ndarray, count: np.ndarray,
     return terms[order[best[order] > over]]
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int = 8192, least: float = 3.5, pairs_over: float = 6.0, factors: int = 8, epochs: int = 40, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss over the buckets of each text; share: of toxic rows, the score where nothing can be learned."""
+def telling(pos: np.ndarray, n_pos: int, neg: np.ndarray, n_neg: int, features: int, least: float) -> np.ndarray:
+    """Buckets that tell the labels apart alone, best first, from how many texts of either label have them."""
+    told = np.where(pos + neg >= LEAST_TEXTS, np.abs(contrast(pos, n_pos, neg, n_neg)), 0)
+    found = np.argsort(-told, kind="stable")[:features]
+    return found[told[found] > least]
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int = FEATURES, least: float = LEAST, pairs_over: float = 6.0, factors: int = 8, epochs: int = 40, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Machine:
+    """Adagrad on the logistic loss over the buckets of each text; share: of toxic labels, the score where nothing can be learned."""
     place = np.full(BUCKETS, -1, np.int32)
     labels = np.asarray(labels, bool)
     n_pos, n_neg = int(labels.sum()), int((~labels).sum())
     base = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    plain = Machine(place, base, np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     if not n_pos or not n_neg:
-        return Machine(place, base, np.zeros(0), np.zeros((0, factors)))
-    pos = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y]), minlength=BUCKETS)
-    neg = np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if not y]), minlength=BUCKETS)
-    told = np.where(pos + neg >= LEAST_TEXTS, np.abs(contrast(pos, n_pos, neg, n_neg)), 0)
-    found = np.argsort(-told, kind="stable")[:features]
-    found = found[told[found] > least]
+        return plain
+    pos, neg = (np.bincount(np.concatenate([t for t, y in zip(texts, labels, strict=True) if y == k]), minlength=BUCKETS) for k in (True, False))
+    found = telling(pos, n_pos, neg, n_neg, features, least)
     together = paired_terms(texts, labels, pos + neg, pairs_over, features)
     # where there is not room for all, either kind has half of it
     half = features // 2
     chosen = np.union1d(found[: max(half, features - len(together))], together[: max(half, features - len(found))])
+    if not len(chosen):
+        return plain
     place[chosen] = np.arange(len(chosen))
     n = len(chosen)
     # one spare feature pads the rows to rectangles; it never has weight
@@ -184,15 +197,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, share: float, features: int
             gv[used] += dv**2
             w[used] -= rate * dw / np.sqrt(gw[used])
             v[used] -= rate / 4 * dv / np.sqrt(gv[used])
-    return Machine(place, w0, w[:n].astype(np.float32), v[:n].astype(np.float32))
+    return Machine(place, w0 + base, w[:n].astype(np.float32), v[:n].astype(np.float32))
 
 
 def _terms_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source, keep, name = with_text(docs, text_col, keep, ["terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column(name)):
                 buckets, first = block_terms(block)
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(buckets))], [*keep, "terms"])
@@ -202,30 +215,49 @@ def _terms_of(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = 6000) -> Machine:
     """Fits a machine on at most per_class labelled rows of either label, none of them held out."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id")))
+    given = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id")))
+    known = given.groupBy("__id").agg(F.max("__label").alias("__label"))
     counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     order = (F.xxhash64("__id"), F.col("__id"))
     parts = [known.filter(F.col("__label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).dropDuplicates(["__id"])
     # at most 2 * per_class ids, so that side is small by construction
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(sample), "__id")
-    table = _terms_of(chosen, "__text", ["__id", "__label"]).toArrow()
+    sample = F.broadcast(parts[0].unionByName(parts[1]))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(sample, "__id")
+    made = stored(_terms_of(rows.withColumn("__key", F.xxhash64("__text")), "__text", ["__id", "__label", "__key"]), "toxicity-sample")
+    chosen = made.groupBy("__id", "__label").agg(F.min_by("terms", "__key").alias("terms"))
+    per_bucket = chosen.select("__label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("__label").alias("pos"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS).toArrow()
+    bucket, of_pos, n = (per_bucket[c].to_numpy().astype(np.int64) for c in ("bucket", "pos", "n"))
+    pos, neg = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    pos[bucket], neg[bucket] = of_pos, n - of_pos
+    sizes = {r[0]: r[1] for r in chosen.groupBy("__label").count().collect()}
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[telling(pos, sizes.get(1, 0), neg, sizes.get(0, 0), FEATURES, LEAST)] = True
+    wanted[np.argsort(-(pos + neg), kind="stable")[:FEATURES]] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                terms = np.asarray(batch.column("terms")[row].values)
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(row, 1), batch.column("__label").slice(row, 1), pa.array([terms[wanted[terms]]], pa.list_(pa.int32()))], ["__id", "__label", "terms"])
+
+    table = chosen.select("__id", "__label", "terms").mapInArrow(run, chosen.select("__id", "__label", "terms").schema).toArrow()
     rows = sorted(zip(table["__id"].to_pylist(), table["__label"].to_pylist(), range(table.num_rows), strict=True))
     lists = table["terms"].combine_chunks()
     texts = [np.asarray(lists[i].values) for *_, i in rows]
+    forget(made)
     return fit(texts, np.array([y for _, y, _ in rows]), share)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and each whole text's probability of being toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed size: BUCKETS places and `features` weights
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source, keep, name = with_text(docs, text_col, keep, ["score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column(name)):
                 kept = batch.slice(block.lo, block.rows)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(held.scores(*block_terms(block)))], [*keep, "score"])
 
