@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import stored
+from ..operators.scratch import stored
 
 DEPTH = 5
 END = 0xFF

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .components import connected_components
-from .scratch import stored
+from ..operators.components import connected_components
+from ..operators.scratch import forget, joined_apart, stored
 
 SHINGLE = 5
 ROWS, BANDS, LOW_BITS = 5, 64, 2
@@ -49,6 +49,7 @@ _LONGS = _HASHES // _PER_LONG
 #: How far below the threshold an estimate may lie: 5.5 standard deviations of _HASHES draws at 0.75.
 SLACK = 0.16
 CHUNK = 512
+STAR = 64
 ROUNDS = 1
 SMALL = 64
 #: Minima of the wider signature, and its slack: 5.5 standard deviations.
@@ -152,27 +153,36 @@ def signatures(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; texts: (cls, text)."""
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    """Pairs (a, b) whose full sets are similar enough; texts: (cls, text).
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        found = []
+    Many pairs may share their b, so its text goes once to each block of about STAR partners, and blocks are dealt out apart.
+    """
+    blocks_of = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("blocks"))
+    dealt = joined_apart(pairs, blocks_of, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    partners = dealt.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").groupBy("b", "block").agg(F.collect_list(F.struct("a", "ta")).alias("partners"))
+    ends = texts.join(blocks_of, texts.cls == blocks_of.b).select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("text").alias("tb"))
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for block in bt.blocks(column):
             hashes, first = shingle_sets(block)
-            found += [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return found
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                yield hashes[a:b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
-                both = np.concatenate([left, right])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for row, right in enumerate(sets(batch.column("tb"))):
+                held = batch.column("partners")[row].values
+                keep = []
+                for left in sets(held.field("ta")):
+                    both = np.concatenate([left, right])
+                    both.sort()
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(100 * common >= percent * (len(left) + len(right) - common))
+                ends = pa.array(np.full(len(held), batch.column("b")[row].as_py()))
+                yield pa.RecordBatch.from_arrays([held.field("a"), ends], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        bt.release()
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return partners.join(ends, ["b", "block"]).select("b", "partners", "tb").mapInArrow(run, "a long, b long")
 
 
 def _mixed(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -185,10 +195,14 @@ def _mixed(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
 
 
 def _met(held: DataFrame, packed: Column) -> DataFrame:
-    """key, left, right: each chunk of members outside the main component beside each chunk of all members of its bucket."""
-    everyone = held.groupBy("key", "chunk").agg(F.collect_list(packed).alias("right")).select("key", "right")
-    outside = held.filter("root <> main").groupBy("key", "chunk").agg(F.collect_list(packed).alias("left")).select("key", "left")
-    return outside.join(everyone, "key")
+    """key, left, right: each chunk of members outside the main component beside each chunk of all members of its bucket.
+
+    Pairs of chunks are dealt out by bucket and right chunk, so a large bucket is not one task's.
+    """
+    everyone = held.groupBy("key", "chunk").agg(F.collect_list(packed).alias("right"))
+    outside = held.filter("root <> main").groupBy("key", "chunk").agg(F.collect_list(packed).alias("left"), F.max("total").alias("total"))
+    facing = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / CHUNK) - 1))
+    return outside.select("key", "left", facing.alias("chunk")).join(everyone, ["key", "chunk"]).select("key", "left", "right")
 
 
 def _likely_pairs(held: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -246,13 +260,12 @@ def _wide_pairs(held: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
             for key, left, right in zip(batch.column("key").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
                 a, ra, wa, ma = columns(left)
                 b, rb, wb, mb = columns(right)
-                here = np.array([key]).astype(np.int32)[0]
                 for lo in range(0, len(a), 16):
                     part = slice(lo, lo + 16)
                     i, j = np.nonzero((ra[part, None] != rb[None, :]) & (_equal(wa[part], wb) >= least))
                     i = lo + i
                     same = ma[i] == mb[j]
-                    ours = ma[i, same.argmax(axis=1)] == here if len(i) else np.zeros(0, bool)
+                    ours = ma[i, same.argmax(axis=1)] == key if len(i) else np.zeros(0, bool)
                     found.append((np.minimum(a[i], b[j])[ours], np.maximum(a[i], b[j])[ours]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
@@ -260,7 +273,7 @@ def _wide_pairs(held: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 
 
 def _wide_signatures(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, wide (packed bits of WIDE minima), marks (low halves of the band keys)."""
+    """cls, wide (packed bits of WIDE minima), marks (the band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,16 +284,19 @@ def _wide_signatures(texts: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("cls").slice(block.lo, block.rows), lists], ["cls", "wide"])
 
     made = texts.select("cls", "text").mapInArrow(run, "cls long, wide array<long>")
-    half = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    return made.join(classes.select("cls", half.alias("marks")), "cls")
+    return made.join(classes.select("cls", F.col("bands").alias("marks")), "cls")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+def classified(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text_key, n_shingles, component, component_id of each row of docs.
+
+    component numbers the components of this run, component_id is the smallest id of one's rows, which
+    another one may have too where ids repeat.
+    """
     signed = stored(signatures(docs, text_col, id_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     groups = stored(signed.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least_id")), "classes")
     classes = stored(signed.join(groups.select(F.col("cls").alias("row")), "row").withColumnRenamed("row", "cls").select("cls", "doc_id", "text_key", "n_shingles", "bands", *_SIGS), "class-signatures")
@@ -295,13 +311,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
     differ = sum((F.bit_count((F.col(s).bitwiseXOR(F.col(f"e{s}")).bitwiseOR(F.shiftright(F.col(s).bitwiseXOR(F.col(f"e{s}")), 1))).bitwiseAND(F.lit(_ODD_BITS))) for s in _SIGS), F.lit(0))
     rated = tried.join(mine, "cls").join(theirs, "end").select("cls", "end", (F.lit(_HASHES) - differ).alias("equal"))
     likely = rated.filter(F.col("equal") >= _least_equal(percent)).groupBy("cls").agg(F.max_by("end", F.struct("equal", "end")).alias("end"))
-    pairs = stored(likely.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct(), "pairs")
+    # as chosen, for an end that many classes choose is read once for many of them; of two that chose each other one pair
+    chosen = likely.select(F.col("cls").alias("a"), F.col("end").alias("b"))
+    pairs = stored(chosen.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).groupBy("x", "y").agg(F.min_by("a", "a").alias("a"), F.min_by("b", "a").alias("b")), "pairs")
 
     # texts of the classes that share a band with another one; all confirmation reads this table
     texts = _texts(docs, classes, members.select("cls").distinct(), text_col, id_col)
-    links = stored(_confirmed(pairs, texts, percent), "confirmed")
+    links = stored(_confirmed(pairs.select("a", "b"), texts, percent), "confirmed")
     roots = connected_components(links)
-    tried, shared_by = pairs, members.select("key", "cls")
+    tried, shared_by = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), members.select("key", "cls")
 
     def confirmed_too(found: DataFrame) -> bool:
         nonlocal links, roots, tried
@@ -316,27 +334,52 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text",
         roots = connected_components(links)
         return True
 
+    used = []
     for _ in range(ROUNDS):
-        held = _mixed(shared_by, classes, roots)
-        best = _likely_pairs(held, percent, best=True).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+        used.append(_mixed(shared_by, classes, roots))
+        best = _likely_pairs(used[-1], percent, best=True).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
         if not confirmed_too(_ordered(best)):
             break
     held = _mixed(shared_by, classes, roots)
     rest = _ordered(_likely_pairs(held.filter(F.col("total") <= SMALL), percent, best=False))
     crowded = held.filter(F.col("total") > SMALL)
     if not crowded.isEmpty():
-        wide = stored(_wide_signatures(texts.join(crowded.select("cls").distinct(), "cls"), classes), "wide-signatures")
-        rest = _ordered(rest.unionByName(_wide_pairs(crowded, wide, percent)))
+        used.append(stored(_wide_signatures(texts.join(crowded.select("cls").distinct(), "cls"), classes), "wide-signatures"))
+        rest = _ordered(rest.unionByName(_wide_pairs(crowded, used[-1], percent)))
     confirmed_too(rest)
+    forget(held, texts, members, classes, pairs, *used)
 
-    rooted = groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = stored(groups.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("f1", "f2", "component_id")
-    rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("f1")).alias("f1"), F.when(F.col("n_shingles") > 0, F.col("f2")).alias("f2"))
-    found = rows.join(named, ["f1", "f2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = joined_apart(rooted, ids, "root").select("f1", "f2", F.col("root").alias("component"), "component_id")
+    # rows without words meet nothing and are spread by their numbers
+    rows = joined_apart(signed.filter("n_shingles > 0"), named, "f1", "f2")
+    alone = signed.filter("n_shingles = 0").withColumns({"component": F.col("row"), "component_id": F.col("doc_id")})
+    columns = ["doc_id", "text_key", "n_shingles", "component", "component_id"]
+    return rows.select(*columns).unionByName(alone.select(*columns)).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    found = classified(docs, percent, text_col, id_col)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def representatives(docs: DataFrame, percent: int = 75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of docs for each component: that with the smallest id (null last), of rows with one id that with the smallest hash of its text.
+
+    Of rows with equal id and text one stays, whether they have words or not.
+    """
+    found = classified(docs, percent, text_col, id_col)
+    key = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__key": F.xxhash64(F.col(text_col).cast("string"))}
+    names = list(key)
+    order = F.struct(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__key"))
+    kept = found.groupBy("component").agg(F.min(order).alias("x")).select("x.*").distinct()
+    # the row travels as one column, so that no column of docs can clash with the keys
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in key.items())).groupBy(*names).agg(F.first("row").alias("row"))
+    return rows.join(kept, names, "left_semi").select("row.*")
+
+
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(cls, text) of the wanted classes."""
     chosen = classes.join(wanted, "cls").select("cls", F.col("doc_id").alias("__id"), "text_key")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .scratch import stored
+from ..operators.scratch import stored
 from .word_ids import encoder
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aisleforge.llm import bytetext as bt
 from aisleforge.llm import context_tree, minhash_dedup, quality_votes, queries, topk_search, toxicity_fm, warc_merkle
-from aisleforge.llm.components import connected_components
+from aisleforge.operators.components import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +86,18 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null ids: rows are judged by their texts, not by ids that others share; half of all rows are one group."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    base, other, third = prose(100), prose(100), prose(100)
+    rows = [(3, base), (5, base), (5, other), (None, base + " a"), (None, third), (None, third), (8, other + " b"), (9, None), (9, None), (None, "")]
+    rows += [(100 + k, base + " " + "".join(rng.choice("xyz") for _ in range(4))) for k in range(40)] + [(3, base)] * 20
+    kept = minhash_dedup.representatives(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted((r[0] or -1, r[1] or "") for r in kept) == sorted([(3, base), (5, other), (-1, third), (9, ""), (-1, "")])
+    assert minhash_dedup.representatives(frame(spark, [])).count() == 0
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
@@ -285,6 +297,80 @@ def test_training_learns_a_pair_of_harmless_terms(spark):
     assert len(right) > 200 and sum(right) > 0.95 * len(right)
 
 
+def test_logits_are_the_double_sum():
+    rng = np.random.default_rng(2)
+    machine = toxicity_fm.Machine(np.zeros(1, np.int32), 0.3, rng.normal(size=9).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32))
+    texts = [rng.choice(9, rng.integers(0, 9), replace=False) for _ in range(40)]
+    found = machine.logits(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for t, logit in zip(texts, found, strict=True):
+        pairs = sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) for k, i in enumerate(t) for j in t[k + 1 :])
+        assert logit == pytest.approx(0.3 + float(machine.w[t].astype(float).sum()) + pairs, abs=1e-9)
+
+
+def test_fit_equals_a_plain_trainer():
+    """Adagrad row by row with explicit pairs, on a table with shares of 1/4 and 3/4."""
+    rng = np.random.default_rng(4)
+    texts = [np.flatnonzero(rng.random(6) < 0.5).astype(np.int32) for _ in range(300)]
+    labels = np.array([(1 in t and 2 in t) or rng.random() < 0.05 for t in texts])
+    share, factors, epochs, rate, l2 = float(labels.mean()), 3, 4, 0.2, 1e-4
+    machine = toxicity_fm.fit(texts, labels, share, least=-1, features=8, factors=factors, epochs=epochs, rate=rate, l2=l2)
+    n = len(machine.w)
+    place = {b: int(machine.place[b]) for b in range(6)}
+    rows = [sorted(place[int(b)] for b in t if place[int(b)] >= 0) for t in texts]
+    rng = np.random.default_rng(7)
+    w0, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n + 1, factors))[:n]
+    g0, gw, gv = 1e-8, np.full(n, 1e-8), np.full((n, factors), 1e-8)
+    weight = {True: 0.5 / labels.sum() * len(labels), False: 0.5 / (~labels).sum() * len(labels)}
+    for _ in range(epochs):
+        order = rng.permutation(len(rows))
+        for lo in range(0, len(order), 256):
+            d0, dw, dv, used = 0.0, np.zeros(n), np.zeros((n, factors)), set()
+            for i in order[lo : lo + 256]:
+                r = rows[i]
+                logit = w0 + sum(w[j] for j in r) + sum(float(v[a] @ v[b]) for k, a in enumerate(r) for b in r[k + 1 :])
+                slope = (1 / (1 + math.exp(-logit)) - labels[i]) * weight[bool(labels[i])] / len(order[lo : lo + 256])
+                d0 += slope
+                for a in r:
+                    used.add(a)
+                    dw[a] += slope
+                    dv[a] += slope * sum((v[b] for b in r if b != a), np.zeros(factors))
+            g0 += d0 * d0
+            w0 -= rate * d0 / math.sqrt(g0)
+            for a in used:
+                x, y = dw[a] + l2 * w[a], dv[a] + l2 * v[a]
+                gw[a] += x * x
+                gv[a] += y * y
+                w[a] -= rate * x / math.sqrt(gw[a])
+                v[a] -= rate / 4 * y / np.sqrt(gv[a])
+    assert n == 6 and np.allclose(machine.w, w, atol=1e-4) and np.allclose(machine.v, v, atol=1e-4)
+    assert machine.w0 == pytest.approx(w0 + math.log(share / (1 - share)), abs=1e-4)
+
+
+def test_nothing_to_tell_labels_by_gives_their_share(spark):
+    docs = frame(spark, [(k, "the same words") for k in range(200)])
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 3)) for k in range(200)], "doc_id long, quality int, toxic int")
+    machine = toxicity_fm.train(docs, labels)
+    trained = [k for k in range(200) if not held_out(k, 5)]
+    share = sum(k % 10 == 3 for k in trained) / len(trained)
+    assert [r["score"] for r in toxicity_fm.score(docs, machine).collect()] == pytest.approx([share] * 200, abs=1e-6)
+
+
+def test_labels_that_disagree_and_repeated_ids(spark):
+    """An id labelled both ways is toxic, whatever the order of rows; kept columns named like an output give way."""
+    docs = frame(spark, [(k, "awful words here" if k % 2 else "fine words here") for k in range(400)] + [(1, "fine words here")] * 50)
+    rows = [(k, 1, 0) for k in range(400)] + [(k, 1, 1) for k in range(400) if k % 2]
+    held = [toxicity_fm.score(docs.withColumn("score", F.lit("x")), toxicity_fm.train(docs, spark.createDataFrame(r, "doc_id long, quality int, toxic int")), keep=("doc_id", "score", "text")).collect() for r in (rows, rows[::-1])]
+    for found in held:
+        assert all((r["score"] >= 0.5) == ("awful" in r["text"]) for r in found) and len(found) == 450
+    assert sorted(r["score"] for r in held[0]) == sorted(r["score"] for r in held[1])
+
+
+def test_small_tables_keep_clean_documents(spark, small):
+    """No collapse to one label where few rows are labelled."""
+    found = {r[0]: r[1] for r in queries.op9_toxicity_fm(spark, small).groupBy("predicted").count().collect()}
+    assert found[0] >= 0.85 * sum(found.values())
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "x"), (2, "")])
     labels = spark.createDataFrame([(1, 1, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")

@@ -17,7 +17,8 @@ def corpus(spark, small):
     base = prose(rng, 150)
     words = base.split()
     words[10] = "changed"
-    planted = [(10_001, base), (10_002, base), (10_003, " ".join(words)), (10_004, prose(rng, 200)), (10_005, "### $$$ ||| " * 80), (10_006, None), (None, prose(rng, 120))]
+    # rows of other ids, or of none, that are copies although another row with their id stays
+    planted = [(10_004, base + " again"), (None, base + " more"), (10_001, base), (10_002, base), (10_003, " ".join(words)), (10_004, prose(rng, 200)), (10_005, "### $$$ ||| " * 80), (10_006, None), (None, prose(rng, 120))]
     rows = [(k, t, "en", "planted", len(t or "")) for k, t in planted]
     return docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({"kept": docs["lang"], "score": docs["lang"], "votes": docs["lang"]})
 
@@ -36,6 +37,8 @@ def test_stages(spark, small):
         if name == "near duplicates":
             assert 10_001 in ids and 10_002 not in ids and 10_003 not in ids and 10_004 in ids and None in ids
             assert all(r["kept"] for r in minhash_dedup.near_duplicates(after).collect())
+            assert sum(ids.count(k) for k in (10_001, 10_004, None)) == 3
+        assert 0.7 * len(before_ids) <= len(ids)
         docs = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r["doc_id"] for r in packed} == set(ids)
@@ -44,4 +47,6 @@ def test_stages(spark, small):
 def test_run(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ids = {r[0] for r in found.select("doc_id").distinct().collect()}
+    assert len(ids) > 100 and ids <= {r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
     assert found.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").isEmpty()
