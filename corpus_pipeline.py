@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisleforge.llm import minhash_dedup, packing, quality_votes, toxicity_fm
-from aisleforge.llm.scratch import stored
+from aisleforge.operators.scratch import stored
 
 ORACLE_SQL = None
 
@@ -34,9 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, and of repeated rows one."""
-    kept = minhash_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each group of near-duplicates, that with the smallest id, and of repeated rows one."""
+    return minhash_dedup.representatives(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
