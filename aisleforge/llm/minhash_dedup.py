@@ -50,6 +50,8 @@ _LONGS = _HASHES // _PER_LONG
 SLACK = 0.16
 CHUNK = 512
 STAR = 64
+#: Of a block of texts to be signed; their minima take several times as much.
+BLOCK_BYTES = 1 << 20
 ROUNDS = 1
 SMALL = 64
 #: Minima of the wider signature, and its slack: 5.5 standard deviations.
@@ -135,7 +137,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("__text")):
+            for block in bt.blocks(batch.column("__text"), BLOCK_BYTES):
                 hashes, first = shingle_sets(block)
                 mins = minima(hashes, first)
                 filled = np.diff(first) > 0
