@@ -28,8 +28,8 @@ UNITS = {
 }
 NUMBER = r"\d+(?:[.,]\d+)?"
 PRICE = r"(?:฿|บาท|baht|thb|\$)\s*\d+|\d+(?:[.,]\d+)?\s*(?:฿|บาท|baht|thb|\$)"
-PROMOTION_WORDS = ("sale", "promo", "discount", "free", "offer", "ลด", "โปร", "แถม", "ฟรี")
-CATEGORY_WORDS = ("section", "aisle", "department", "category", "หมวด", "แผนก")
+PROMOTION_WORDS = ("sale", "offer", "discount", "promo", "special", "ลด", "พิเศษ", "โปรโมชั่น", "เซล")
+CURRENCIES, CURRENCIES_AFTER = "฿$€£¥", "฿$€£¥บาท"
 
 
 def or_empty(c: Column) -> Column:
@@ -147,10 +147,12 @@ def any_word(words: tuple[str, ...]) -> str:
 
 
 def text_type(c: Column) -> Column:
-    """price, size, promotion, category or product: the first that fits."""
+    """price, size, promotion, category (up to three words, one with a capital) or product: the first that fits; unknown without text."""
     text = clean(c)
+    price = rf"[{CURRENCIES}]\s*\d|\d\s*[{CURRENCIES_AFTER}]"
     sized = "(?i)" + NUMBER + r"\s?(?:" + "|".join(w for ws in UNITS.values() for w in ws) + r")(?![A-Za-z])"
-    return F.when(text.rlike("(?i)" + PRICE), "price").when(text.rlike(sized), "size").when(text.rlike(any_word(PROMOTION_WORDS)), "promotion").when(text.rlike(any_word(CATEGORY_WORDS)), "category").otherwise("product")
+    heading = (F.size(F.split(text, " ")) <= 3) & text.rlike(r"\p{Lu}")
+    return F.when(or_empty(c) == "", "unknown").when(text.rlike(price), "price").when(text.rlike(sized), "size").when(text.rlike(any_word(PROMOTION_WORDS)), "promotion").when(heading, "category").otherwise("product")
 
 
 def crop_text_type(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: names, types and order of the records' fields are the interface that files in use have
 #: Schemas by name, as DDL; a session is needed only when one is asked for.
 SCHEMAS = {
     "crop_context": (
@@ -16,8 +17,8 @@ SCHEMAS = {
     ),
     "consolidated": (
         "image_id string, crop_id string, brand_th string, brand_en string, product_th string, product_en string, variant_th string, variant_en string, "
-        "category_th string, category_en string, subcategory_th string, subcategory_en string, size_raw string, size_normalized string, signage_type string, "
-        "private_label string, placement string, facings_hint int, conf_logo double, conf_ocr double, conf_detector double, conf_overall double, review_needed boolean, notes string"
+        "size_raw string, size_normalized string, category_th string, category_en string, subcategory_th string, subcategory_en string, signage_type string, "
+        "private_label string, facings_hint int, placement string, conf_logo double, conf_ocr double, conf_detector double, conf_overall double, review_needed boolean, notes string"
     ),
     "image_metadata": (
         "image_id string, file_path string, file_name string, file_size bigint, dimensions struct<width:int,height:int>, quality_score double, sharpness double, "

@@ -39,9 +39,12 @@ def matches(c: Column, words: list[str]) -> Column:
 
 
 def portfolio(df: DataFrame, store: str = "supermarket") -> DataFrame:
-    return df.groupBy(store).agg(
-        F.count("*").alias("products"), F.countDistinct("brand").alias("brands"), F.countDistinct("category").alias("categories"), F.countDistinct("product_type").alias("types"),
-        count_where(F.col("origin") == "local").alias("local_products"), count_where(F.col("origin") == "international").alias("international_products"),
+    """Rows are grouped once; distinct counts, which copy their input for every column, see only distinct combinations."""
+    held = df.groupBy(store, "brand", "category", "product_type", "origin").agg(F.count("*").alias("n"))
+    of = lambda origin: F.coalesce(F.sum(F.when(F.col("origin") == origin, F.col("n"))), F.lit(0))
+    return held.groupBy(store).agg(
+        F.sum("n").alias("products"), F.countDistinct("brand").alias("brands"), F.countDistinct("category").alias("categories"), F.countDistinct("product_type").alias("types"),
+        of("local").alias("local_products"), of("international").alias("international_products"),
     )
 
 
@@ -53,7 +56,8 @@ def value_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 def with_share(counted: DataFrame, value: str, name: str, within: list[str] | None = None, factor: float = 1.0, places: int = 6) -> DataFrame:
     """A grouped result with each value's share of the total, or of the total of its `within` group."""
-    total = F.sum(value).over(Window.partitionBy(*(within or [])))
+    # a total over everything is one number, not a window that would pull all keys into one task
+    total = F.sum(value).over(Window.partitionBy(*within)) if within else counted.agg(F.sum(value)).scalar()
     return counted.withColumn(name, ratio(F.col(value), total, factor, places))
 
 
@@ -109,6 +113,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The exact median of each group, from how often each value occurs: a group's rows are never held together."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy(*by))})
+    middle = [F.min(F.when(F.col("upto") >= F.floor((F.col("total") + k) / 2), F.col(value))) for k in (1, 2)]
+    return placed.groupBy(*by).agg(((middle[0] + middle[1]) / 2).alias("median"))
+
+
 def band(value: Column, steps: list[tuple[float, str]], rest: str) -> Column:
     """The label of the first step that the value stays under."""
     found = None

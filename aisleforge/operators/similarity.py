@@ -51,6 +51,17 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vector: str, block: str, least
     return left.join(right, "block").filter("a < b").select("a", "b", scores.dot(F.col("va"), F.col("vb")).alias("cosine")).filter(F.col("cosine") >= least)
 
 
+def jaccard_links(sets: DataFrame, id_col: str, set_col: str, least: float) -> DataFrame:
+    """Links (a, b) with the same components as all pairs of Jaccard >= least: equal sets hang on their smallest id, which alone is compared.
+
+    n copies give n - 1 links, where pairs would be n * n.
+    """
+    held = sets.filter(F.size(set_col) > 0).select(F.col(id_col).alias("id"), F.col(set_col).alias("s"), F.sha2(F.array_join(F.array_sort(set_col), "\u0001"), 256).alias("k"))
+    firsts = held.groupBy("k").agg(F.min("id").alias("first"), F.min_by("s", "id").alias("s"))
+    copies = held.join(firsts.select("k", "first"), "k").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return jaccard_pairs(firsts.select(F.col("first").alias("id"), "s"), "id", "s", least).select("a", "b").unionByName(copies)
+
+
 def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int, length: int = 16) -> DataFrame:
     """(a, b, distance) with a < b of hashes of one length that differ in at most `most` characters.
 
@@ -98,17 +109,42 @@ def canonical_rows(items: DataFrame, id_col: str, roots: DataFrame, order: list[
 def duplicate_products(products: DataFrame, config: Config = Config()) -> DataFrame:
     """(node, root) of products (id, brand, type, image, confidence, tokens, embedding) linked by 1 - similarity <= eps.
 
-    Without the same brand and type no pair can reach 0.85, and on one image none can either, so both bound the join.
+    No pair can reach 1 - eps without the same brand and type, nor on one image, nor with a Jaccard under
+    (1 - eps - 0.7) / 0.3, as the cosine and the confidence are at most 1; the last bound finds the candidates.
     """
-    brand, kind = F.lower("brand"), F.lower("type")
-    held = products.select("id", brand.alias("brand"), kind.alias("type"), "image", "confidence", "tokens", "embedding")
-    sides = [held.select(F.col("id").alias(s), "brand", "type", *[F.col(c).alias(f"{c}_{s}") for c in ("image", "confidence", "tokens", "embedding")]) for s in ("a", "b")]
-    pairs = sides[0].join(sides[1], ["brand", "type"]).filter("a < b AND image_a <> image_b AND confidence_a + confidence_b >= 1.7")
-    similarity = scores.product_similarity(scores.cosine(F.col("embedding_a"), F.col("embedding_b")), text.jaccard(F.col("tokens_a"), F.col("tokens_b"), both_empty=0.0), F.lit(True), F.lit(False), F.col("confidence_a"), F.col("confidence_b"))
+    worded = jaccard_pairs(products, "id", "tokens", (1 - config.product_eps - 0.7) / 0.3)
+    held = products.select("id", F.lower("brand").alias("brand"), F.lower("type").alias("type"), "image", "confidence", "embedding")
+    pairs = worded
+    for s in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in held.columns[1:]]), s)
+    pairs = pairs.filter("brand_a = brand_b AND type_a = type_b AND image_a <> image_b")
+    similarity = scores.product_similarity(scores.cosine(F.col("embedding_a"), F.col("embedding_b")), F.col("jaccard"), F.lit(True), F.lit(False), F.col("confidence_a"), F.col("confidence_b"))
     linked = pairs.select("a", "b", similarity.alias("similarity")).filter(1 - F.col("similarity") <= config.product_eps)
     return connected_components(linked)
 
 
+def canonical_products(products: DataFrame, config: Config = Config()) -> DataFrame:
+    """Every product's id, cluster_id, canonical_id, is_canonical, duplicate_count, source_images, reason and similarity.
+
+    The canonical product of a cluster has the highest score (confidence, words, known brand, image), of equal ones the smallest id; it
+    carries the cluster's images in order. The others have the reason and their similarity to it. A product without duplicates is its own.
+    """
+    known = F.coalesce((F.length("brand") > 0) & (F.lower("brand") != "unknown"), F.lit(False))
+    score = F.round(scores.canonical_score(F.coalesce("confidence", F.lit(0.0)), F.size("tokens"), known, F.col("image").isNotNull()), 9)
+    members = products.join(duplicate_products(products, config).select(F.col("node").alias("id"), F.col("root").alias("cluster_id")), "id")
+    best = members.groupBy("cluster_id").agg(F.min_by("id", F.struct((-score).alias("s"), "id")).alias("canonical_id"), F.count("*").alias("duplicate_count"), F.array_sort(F.collect_set("image")).alias("source_images"))
+    columns = ("brand", "type", "image", "confidence", "tokens", "embedding")
+    chosen = best.join(products.select(F.col("id").alias("canonical_id"), *[F.col(c).alias(f"c_{c}") for c in columns]), "canonical_id")
+    same_kind = (F.lower("brand") == F.lower("c_brand")) & (F.lower("type") == F.lower("c_type"))
+    similarity = scores.product_similarity(scores.cosine(F.col("embedding"), F.col("c_embedding")), text.jaccard(F.col("tokens"), F.col("c_tokens"), both_empty=0.0), same_kind, F.col("image") == F.col("c_image"), F.col("confidence"), F.col("c_confidence"))
+    joined = products.join(members.select("id", "cluster_id"), "id", "left").join(chosen, "cluster_id", "left")
+    own = F.col("canonical_id").isNull() | (F.col("canonical_id") == F.col("id"))
+    return joined.select(
+        "id", "cluster_id", F.coalesce("canonical_id", "id").alias("canonical_id"), own.alias("is_canonical"), F.when(own, F.coalesce("duplicate_count", F.lit(1))).alias("duplicate_count"),
+        F.when(own, F.coalesce("source_images", F.array("image"))).alias("source_images"), F.when(~own, "cross_image_duplicate").alias("reason"), F.when(~own, similarity).alias("similarity"),
+    )
+
+
 def image_clusters(images: DataFrame, config: Config = Config()) -> DataFrame:
     """(node, root) of images (id, tokens, embedding) with 0.6 cosine + 0.4 Jaccard >= 1 - eps; lone images have no row.
 

@@ -20,7 +20,7 @@ def _store(p, name):
     return p.filter(F.col("supermarket") == name)
 
 
-@query("""WITH a AS (SELECT brand, count(*) AS n FROM products WHERE supermarket = 'store_a' AND confidence >= 0.97 AND line > 5 AND brand IS NOT NULL GROUP BY brand), b AS (SELECT brand, count(*) AS n FROM products WHERE supermarket = 'store_b' AND line < 3 AND supplier % 9 = 1 AND part % 11 = 3 AND brand IS NOT NULL GROUP BY brand)
+@query("""WITH a AS (SELECT brand, count(*) AS n FROM products WHERE supermarket = 'store_a' AND brand IS NOT NULL GROUP BY brand), b AS (SELECT brand, count(*) AS n FROM products WHERE supermarket = 'store_b' AND brand IS NOT NULL GROUP BY brand)
 SELECT coalesce(a.brand, b.brand) AS brand, coalesce(a.n, 0) AS store_a, coalesce(b.n, 0) AS store_b, coalesce(a.n, 0) + coalesce(b.n, 0) AS total FROM a FULL OUTER JOIN b ON a.brand = b.brand""")
 def outer_align(spark, sf_dir):
     p = products(spark, sf_dir).filter("brand IS NOT NULL")
@@ -58,7 +58,7 @@ def anti_remaining(spark, sf_dir):
     return remaining(images, table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("image_id")), "image_id")
 
 
-SETS = "WITH a AS (SELECT DISTINCT {0} AS k FROM products WHERE supermarket = 'store_a' AND line = 7), b AS (SELECT DISTINCT {0} AS k FROM products WHERE supermarket = 'store_b' AND line = 6 AND confidence > 0.95), s AS (SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM b) AS size_b, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS shared)"
+SETS = "WITH a AS (SELECT DISTINCT {0} AS k FROM products WHERE supermarket = 'store_a'), b AS (SELECT DISTINCT {0} AS k FROM products WHERE supermarket = 'store_b'), s AS (SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM b) AS size_b, (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS shared)"
 SET_COLUMNS = "size_a, size_b, shared, size_a - shared AS only_a, size_b - shared AS only_b, round(shared * 100.0::DOUBLE / least(size_a, size_b), 6) AS overlap_pct"
 LINE = "coalesce(brand, '?') || '/' || product_type"
 
@@ -87,7 +87,7 @@ def overlap_band(spark, sf_dir):
     return J.set_sizes(*_two_sets(spark, sf_dir, _line()), "k").select(J.overlap_band(F.col("overlap_pct")).alias("differentiation"))
 
 
-@query(f"WITH a AS (SELECT {LINE} AS k FROM products WHERE supermarket = 'store_a' AND line = 7), b AS (SELECT {LINE} AS k FROM products WHERE supermarket = 'store_b' AND line = 6 AND confidence > 0.95) SELECT k, 'both' AS side FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'only_a' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'only_b' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)")
+@query(f"WITH a AS (SELECT {LINE} AS k FROM products WHERE supermarket = 'store_a'), b AS (SELECT {LINE} AS k FROM products WHERE supermarket = 'store_b') SELECT k, 'both' AS side FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'only_a' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'only_b' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)")
 def brand_set_operations(spark, sf_dir):
     a, b = (x.select("k") for x in _two_sets(spark, sf_dir, _line()))
     sides = {"both": a.intersect(b), "only_a": a.subtract(b), "only_b": b.subtract(a)}
@@ -196,10 +196,11 @@ def shelf_tier(spark, sf_dir):
 SELECT z.category, count(*) AS products, min(y) AS min_y, max(y) AS max_y, round(median(y), 6) AS median_y, round(stddev_pop(y), 6) AS std_y, any_value(c.zone) AS dominant FROM z JOIN c ON z.category = c.category AND c.k = 1 GROUP BY z.category""")
 def zone_stats(spark, sf_dir):
     placed = _placed(spark, sf_dir).withColumn("zone", scores.zone(F.col("y")))
-    stats = placed.groupBy("category").agg(F.count("*").alias("products"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.round(F.median("y"), 6).alias("median_y"), F.round(F.stddev_pop("y"), 6).alias("std_y"))
+    stats = placed.groupBy("category").agg(F.count("*").alias("products"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.round(F.stddev_pop("y"), 6).alias("std_y"))
     zones = placed.groupBy("category", "zone").agg(F.count("*").alias("n"))
     first = zones.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "zone"))).filter("k = 1").select("category", F.col("zone").alias("dominant"))
-    return stats.join(first, "category")
+    middle = M.median(placed, "y", ["category"]).select("category", F.round("median", 6).alias("median_y"))
+    return stats.join(middle, "category").join(first, "category")
 
 
 @query("""WITH p AS (SELECT DISTINCT image_id, (part % 100) AS s FROM products), g AS (SELECT image_id, s, CASE WHEN s - lag(s) OVER w > 10 THEN 1 ELSE 0 END AS f FROM p WINDOW w AS (PARTITION BY image_id ORDER BY s)),

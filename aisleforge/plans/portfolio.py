@@ -82,7 +82,7 @@ def _lines(spark, sf_dir):
 
 for _name, _edges in EDGES.items():
     _case = " ".join(f"WHEN n >= {lo}" + (f" AND n <= {hi}" if hi else "") + f" THEN '{label}'" for label, lo, hi in _edges)
-    register(_name, lambda s, d, e=_edges: M.size_buckets(_lines(s, d), "line_name", ["supermarket"], e), f"WITH c AS (SELECT supermarket, concat_ws('/', brand, product_type) AS k, count(*) AS n FROM products WHERE line = 7 GROUP BY ALL) SELECT supermarket, CASE {_case} END AS bucket, count(*) AS keys FROM c GROUP BY ALL")
+    register(_name, lambda s, d, e=_edges: M.size_buckets(_lines(s, d), "line_name", ["supermarket"], e), f"WITH c AS (SELECT supermarket, concat_ws('/', brand, product_type) AS k, count(*) AS n FROM products GROUP BY ALL) SELECT supermarket, CASE {_case} END AS bucket, count(*) AS keys FROM c GROUP BY ALL")
 
 ORIGINS = ["local", "international", "unknown"]
 

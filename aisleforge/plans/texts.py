@@ -49,7 +49,8 @@ def normalized_sizes(spark, sf_dir):
     return _labels(spark, sf_dir).select("part", F.when(first.isNotNull(), text.normalized_size(first)).alias("normalized"))
 
 
-@query(f"""WITH l AS (SELECT DISTINCT part, size FROM products) SELECT part, CASE WHEN size % 8 = 5 THEN 'price' WHEN size % 8 <= 4 THEN 'size' WHEN size % 8 = 6 THEN 'promotion' ELSE 'category' END AS kind FROM l""")
+@query(f"""WITH l AS (SELECT DISTINCT part, size, {LABEL} AS label FROM products)
+SELECT part, CASE WHEN size % 8 <= 4 THEN 'size' WHEN size % 8 = 6 THEN 'promotion' WHEN len(string_split(label, ' ')) <= 3 AND regexp_matches(label, '[A-Z]') THEN 'category' ELSE 'product' END AS kind FROM l""")
 def text_type(spark, sf_dir):
     return _labels(spark, sf_dir).select("part", text.text_type(F.col("label")).alias("kind"))
 
@@ -121,7 +122,7 @@ def crop_grid(spark, sf_dir):
     return p.select("part", F.inline(scores.grid_crops(F.col("w"), F.col("h"))))
 
 
-SET_SQL = "s AS (SELECT doc_id AS id, list_distinct(list_filter(" + WORDS.format(CLEAN) + ", lambda t: length(t) > 1)) AS t FROM documents WHERE doc_id >= 0)"
+SET_SQL = "s AS (SELECT doc_id AS id, list_distinct(list_filter(" + WORDS.format(CLEAN) + ", lambda t: length(t) > 1)) AS t FROM documents)"
 JACCARD = "len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE"
 
 
@@ -152,8 +153,8 @@ def hamming_pairs(spark, sf_dir):
     return S.hamming_pairs(_hashes(spark, sf_dir), "id", "phash", 3)
 
 
-@query(f"""WITH h AS (SELECT conv_id * 100 + turn AS id, {HASH} AS h, string_split(role || ' ' || (conv_id % 40) || ' xx yy', ' ') AS t FROM conversations)
-SELECT a.id AS a, b.id AS b, 2 AS criteria FROM h a JOIN h b ON a.id < b.id AND hamming(a.h, b.h) <= 6 AND {JACCARD} >= 0.8""", products=False)
+@query(f"""WITH h AS (SELECT conv_id * 100 + turn AS id, {HASH} AS h, list_distinct(list_filter({WORDS.format(CLEAN)}, lambda t: length(t) > 1)) AS t FROM conversations)
+SELECT a.id AS a, b.id AS b, 2 AS criteria FROM h a JOIN h b ON a.id < b.id AND hamming(a.h, b.h) <= 6 AND len(a.t) > 0 AND len(b.t) > 0 AND {JACCARD} >= 0.8""", products=False)
 def image_duplicates(spark, sf_dir):
     return S.image_duplicates(_hashes(spark, sf_dir))
 
@@ -162,7 +163,7 @@ COMPONENTS = f"""WITH RECURSIVE {SET_SQL}, e AS (SELECT a.id AS a, b.id AS b FRO
 
 
 def _duplicate_roots(spark, sf_dir):
-    return connected_components(S.jaccard_pairs(_sets(spark, sf_dir), "id", "tokens", 0.8))
+    return connected_components(S.jaccard_links(_sets(spark, sf_dir), "id", "tokens", 0.8))
 
 
 @query(COMPONENTS + " SELECT node, root FROM c", products=False)
@@ -187,14 +188,37 @@ def dup_stats(spark, sf_dir):
     return _canonical(spark, sf_dir).groupBy("canonical_id").agg(F.count("*").alias("n")).groupBy(F.col("n").alias("duplicate_count")).agg(F.count("*").alias("items"))
 
 
-@query(None)
+TOKENS = "list_distinct(list_filter(" + WORDS.format(CLEAN) + ", lambda t: length(t) > 1))"
+HEX = "'0123456789abcdef'"
+VECTOR = f"list_transform(range(0, 48), lambda i: CAST((instr({HEX}, substring(h, CAST(2 * i + 1 AS BIGINT), 1)) - 1) * 16 + instr({HEX}, substring(h, CAST(2 * i + 2 AS BIGINT), 1)) - 1 AS DOUBLE))"
+EMBEDDED = f"d AS (SELECT doc_id AS id, source, lang, {TOKENS} AS t, md5(text || '_0') || md5(text || '_1') || md5(text || '_2') AS h FROM documents), v AS (SELECT *, {VECTOR} AS e FROM d)"
+SAME_WORDS = f"CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN {JACCARD} ELSE 0 END"
+ROOTS = "r(node, root) AS (SELECT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)"
+ALIKE = f"(0.4::DOUBLE * list_cosine_similarity(a.e, b.e) + 0.3::DOUBLE * {SAME_WORDS} + 0.3::DOUBLE) * 0.95::DOUBLE"
+PRODUCTS = f"WITH RECURSIVE {EMBEDDED}, l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.source = b.source AND a.lang = b.lang AND a.id <> b.id AND 1 - {ALIKE} <= 0.15), {ROOTS}"
+
+
+def _shelf_products(spark, sf_dir):
+    """Texts as products: the source as brand, the language as type, each on an image of its own."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("brand"), F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("image"), F.lit(0.95).alias("confidence"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query(PRODUCTS + " SELECT node, root FROM c", products=False)
 def product_duplicates(spark, sf_dir):
     """Products of one brand and type on different images, by hash embeddings and tokens."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("brand"), F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("image"), F.lit(0.95).alias("confidence"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
-    return S.duplicate_products(d)
+    return S.duplicate_products(_shelf_products(spark, sf_dir))
 
 
-@query(None)
+@query(PRODUCTS + f""", m AS (SELECT v.*, c.root, 0.4::DOUBLE * 0.95 + 0.3::DOUBLE * least(len(t) / 10.0, 1) + CASE WHEN source IS NOT NULL AND lower(source) NOT IN ('', 'unknown') THEN 0.2 ELSE 0 END + 0.1 AS s FROM v LEFT JOIN c ON node = id),
+k AS (SELECT *, first_value(id) OVER (PARTITION BY coalesce(root, id) ORDER BY round(s, 9) DESC, id) AS best, count(*) OVER (PARTITION BY coalesce(root, id)) AS n FROM m), g AS (SELECT coalesce(root, id) AS g, array_to_string(list_sort(list(CAST(id AS VARCHAR))), ',') AS images FROM m GROUP BY ALL)
+SELECT a.id, a.root AS cluster_id, a.best AS canonical_id, a.best = a.id AS is_canonical, CASE WHEN a.best = a.id THEN a.n END AS duplicate_count, CASE WHEN a.best = a.id THEN images END AS source_images, CASE WHEN a.best <> a.id THEN 'cross_image_duplicate' END AS reason, CASE WHEN a.best <> a.id THEN round({ALIKE}, 4) END AS similarity
+FROM k a JOIN g ON g = coalesce(a.root, a.id) JOIN v b ON b.id = a.best""", products=False)
+def canonical_products(spark, sf_dir):
+    found = S.canonical_products(_shelf_products(spark, sf_dir))
+    return found.withColumns({"source_images": F.array_join("source_images", ","), "similarity": F.round("similarity", 4)})
+
+
+@query(f"WITH RECURSIVE {EMBEDDED}, l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND 1 - (0.6::DOUBLE * list_cosine_similarity(a.e, b.e) + 0.4::DOUBLE * CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 1 ELSE {SAME_WORDS} END) <= 0.2), {ROOTS} SELECT node, root FROM c", products=False)
 def image_clusters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
     return S.image_clusters(d)
@@ -228,3 +252,32 @@ def object_match(spark, sf_dir):
 def canonical_scores(spark, sf_dir):
     score = scores.canonical_score(F.col("confidence"), F.col("line"), F.coalesce(F.col("brand") != "unknown", F.lit(False)), F.lit(True))
     return products(spark, sf_dir).groupBy("supermarket", "category").agg(M.mean(score, 4).alias("mean_score"))
+
+
+@query(r"""WITH w AS (SELECT l_orderkey AS image_id, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS w FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT image_id, array_to_string(list_sort(list(DISTINCT w)), ' ') AS tokens FROM w GROUP BY image_id""", products=False)
+def annotation_tokens(spark, sf_dir):
+    """Distinct words of the annotations of an image."""
+    held = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("p_name").alias("name"))).alias("texts"))
+    return held.select("image_id", F.array_join(F.array_sort(text.annotation_tokens(F.col("texts"))), " ").alias("tokens"))
+
+
+@query("SELECT doc_id, md5(trim(replace(lower(' ' || lang || 'กั' || text), 'ั', ''))) AS digest FROM documents", products=False)
+def normalized_thai(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(text.normalized_thai(F.concat(F.lit(" "), "lang", F.lit("กั"), "text"))).alias("digest"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: 0.7::DOUBLE * x[i] + 0.3::DOUBLE * x[len(x) + 1 - i]) AS y FROM e)
+SELECT vec_id, round(y[1] / sqrt(list_dot_product(y, y)), 6) AS first, round(y[len(y)] / sqrt(list_dot_product(y, y)), 6) AS last FROM f""", products=False)
+def fused_embeddings(spark, sf_dir):
+    """Vectors fused with their mirror images, of length 1."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    fused = table(spark, sf_dir, "embeddings").select("vec_id", scores.fused_embedding(x, F.reverse(x)).alias("y"))
+    return fused.select("vec_id", F.round(F.col("y")[0], 6).alias("first"), F.round(F.element_at("y", -1), 6).alias("last"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * l_quantity * 3) AS INTEGER) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN s >= 3600 THEN printf('%dh %02dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM s""", products=False)
+def durations(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.duration(F.col("l_quantity") * F.col("l_quantity") * 3).alias("took"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scratch import stored
+
 # fixed values: the suffixes that count as images
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "heic", "webp")
 
@@ -32,7 +34,8 @@ def with_sequence(df: DataFrame, order: str, pattern: str, name: str) -> DataFra
 
     A window over everything would pull all rows into one task; here only one count per partition reaches the driver.
     """
-    ordered = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    # stored once: the bounds of ranges are sampled, so counts and numbers must come from the same partitions
+    ordered = stored(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "ordered")
     counts = {r[0]: r[1] for r in ordered.groupBy("__part").count().collect()}
     ahead, pairs = 0, []
     for part in sorted(counts):

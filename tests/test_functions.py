@@ -27,7 +27,7 @@ def test_text_functions(spark):
         text.normalized_size: [("1.5 l", "1500ml"), ("2 kg", "2000g"), ("0.25 oz", "0.3oz"), ("330 ml", "330ml")],
         text.dehyphenate: [("choco-\n late", "chocolate"), ("a­\nb", "ab"), ("a-b", "a-b"), (None, "")],
         text.brand_candidates: [("Nova 123 tea X Öko", ["Nova", "Öko"]), (None, [])],
-        text.text_type: [("฿ 25", "price"), ("250 g", "size"), ("big SALE", "promotion"), ("aisle 4", "category"), ("Noodles", "product")],
+        text.text_type: [("฿ 25", "price"), ("25 บาท", "price"), ("250 g", "size"), ("big SALE", "promotion"), ("ราคาพิเศษ", "promotion"), ("Noodles", "category"), ("aisle 4", "product"), ("Some of the noodles", "product"), ("", "unknown")],
         text.crop_text_type: [("25 baht", "price"), ("ข้าว", "thai_name"), ("50g", "size"), ("Nova Tea", "brand"), ("nova 7", "general")],
         text.ocr_tokens: [("Soap 50 ml $ 30 soap 7 a", ["soap"]), (None, [])],
         text.normalized_thai: [(" กัน ", "กน"), (None, "")],
