@@ -397,6 +397,37 @@ def test_top_k_equals_all_products(spark):
     assert topk_search.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [False, True])
+def test_top_k_over_many_blocks(spark, monkeypatch, pivots):
+    """Clustered vectors in small blocks and cells, more queries than one block holds."""
+    monkeypatch.setattr(topk_search, "BLOCK", 64)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 16)
+    if pivots:
+        monkeypatch.setattr(topk_search, "PER_PIVOT", 100)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(12, 16)), 100, axis=0) + 0.1 * rng.normal(size=(1200, 16))
+    x[::9] = x[0]  # ties
+    found = defaultdict(list)
+    for r in topk_search.top_k(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 7 == 0, k=20).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    e = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 1200, 7):
+        scores = e @ e[q]
+        order = [i for i in np.lexsort((np.arange(1200), -scores)) if i != q][:20]
+        assert sorted(found[q]) == [(k + 1, i, scores[i]) for k, i in enumerate(order)]
+
+
+def test_bounds_drop_most_candidates_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(50, 64)) * np.linspace(2, 0.1, 64)
+    data = np.floor(64 * (np.repeat(centres, 80, axis=0) + 0.05 * rng.normal(size=(4000, 64)))).T
+    queries, names = np.ascontiguousarray(data[:, :32].T), np.arange(32)
+    _, _, score = topk_search.best_of_block(names, queries, np.arange(4000), data, 20)
+    tally = [0, 0]
+    q, ids, again = topk_search.best_of_block(names, queries, np.arange(4000), data, 20, score.reshape(32, 20)[:, -1], tally)
+    assert (again == score).all() and tally[1] == 32 * 4000 and tally[0] < 0.1 * tally[1]
+
+
 def test_search_bounds_hold_for_large_numbers():
     a, b = np.array([[2.0**40, -(2.0**40)]]), np.array([[2.0**40, 1.0], [3.0, 2.0**40]])
     assert topk_search._product(a, b).tolist() == [[2**63 - 1, -(2**63)]]
