@@ -2,10 +2,11 @@
 
 Pages become WARC response records; FANOUT ** 2 consecutive ids share a file, in which records
 stand in ascending order of id at known byte offsets.  Every record's bytes are hashed
-(SHA-256).  FANOUT neighbouring hashes form a node whose hash is that of their hashes in
-order, and so on up to one root; each node knows the file range and the byte range it covers.
-Two replicas are compared from the root down: only children of nodes that differ are looked
-at, so the cost of an audit follows the damage, not the archive.
+(SHA-256).  FANOUT neighbours form a node whose hash is that of their hashes and byte ranges in
+order, and so on up to one root.  Two replicas are compared from the root down: only children of
+nodes that differ are looked at, so the cost of an audit follows the damage, not the archive.  A lost record
+moves those after it in its file, so their nodes differ and are descended; whether a record itself is intact
+its own hash says.  The replicas are tables of records; the bytes are those that a file would hold.
 
 All steps are SQL functions, and a group has at most FANOUT members whatever the data hold: records that
 repeat an id are folded into one leaf by sums over their hashes, with partial sums before
@@ -22,9 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scratch import stored
+from ..operators.scratch import forget, stored
 
-FANOUT = 32
+SHIFT = 5
+FANOUT = 1 << SHIFT
 
 
 def record_text(page_id: Column, url: Column, html: Column) -> Column:
@@ -46,7 +48,7 @@ def leaves(made: DataFrame) -> DataFrame:
     pieces = [F.sum(F.conv(F.substring("sha256", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"h{k}") for k in range(8)]
     grouped = made.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.min("sha256").alias("only"), *pieces)
     folded = F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[F.col(f"h{k}").cast("string") for k in range(8)]), 256)
-    held = grouped.select(F.col("page_id").alias("node"), F.floor(F.col("page_id") / (FANOUT * FANOUT)).cast("long").alias("file"), "n", "length", F.when(F.col("n") == 1, F.col("only")).otherwise(folded).alias("hash"))
+    held = grouped.select(F.col("page_id").alias("node"), F.shiftright("page_id", 2 * SHIFT).alias("file"), "n", "length", F.when(F.col("n") == 1, F.col("only")).otherwise(folded).alias("hash"))
     # a file holds at most FANOUT ** 2 leaves
     ahead = Window.partitionBy("file").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
@@ -70,8 +72,8 @@ def build(leaf_table: DataFrame, depth: int) -> Tree:
     levels = [stored(level, "merkle-0")]
     for k in range(1, depth + 1):
         ordered = F.array_sort(F.collect_list(F.struct("node", "hash", "first_file", "last_file", "offset", "end")))
-        grouped = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).cast("long").alias("up")).agg(ordered.alias("x"))
-        children = F.transform("x", lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"]))
+        grouped = levels[-1].groupBy(F.shiftright("node", SHIFT).alias("up")).agg(ordered.alias("x"))
+        children = F.transform("x", lambda c: F.concat_ws(":", *[c[x].cast("string") for x in ("node", "hash", "first_file", "offset", "last_file", "end")]))
         level = grouped.select(F.col("up").alias("node"), F.sha2(F.concat_ws(",", children), 256).alias("hash"), F.col("x")[0]["first_file"].alias("first_file"), F.element_at("x", -1)["last_file"].alias("last_file"), F.col("x")[0]["offset"].alias("offset"), F.element_at("x", -1)["end"].alias("end"))
         levels.append(stored(level, f"merkle-{k}"))
     return Tree(levels)
@@ -79,9 +81,10 @@ def build(leaf_table: DataFrame, depth: int) -> Tree:
 
 def depth_for(*tables: DataFrame) -> int:
     """Levels that put all ids of the tables under one node on either side of zero."""
-    most = max((int(t.agg(F.max(F.abs("page_id"))).first()[0] or 0) for t in tables), default=0)
+    # -1 - id has the bits of a negative id and fits where -id does not
+    most = max((int(t.agg(F.max(F.when(F.col("page_id") < 0, -1 - F.col("page_id")).otherwise(F.col("page_id")))).first()[0] or 0) for t in tables), default=0)
     depth = 1
-    while FANOUT**depth <= most:
+    while most >> (SHIFT * depth):
         depth += 1
     return depth
 
@@ -93,7 +96,7 @@ def differences(ours: Tree, theirs: Tree) -> DataFrame:
         a, b = ours.levels[k].select("node", F.col("hash").alias("ours")), theirs.levels[k].select("node", F.col("hash").alias("theirs"))
         if wanted is not None:
             inside = wanted.select(F.col("node").alias("up"))
-            a, b = (t.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(inside, "up", "left_semi").drop("up") for t in (a, b))
+            a, b = (t.withColumn("up", F.shiftright("node", SHIFT)).join(inside, "up", "left_semi").drop("up") for t in (a, b))
         wanted = a.join(b, "node", "full_outer").filter(~F.col("ours").eqNullSafe(F.col("theirs")))
         if k:
             wanted = stored(wanted.select("node"), f"differ-{k}")
@@ -108,6 +111,8 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     ours, theirs = records(pages), records(replica)
     depth = depth_for(ours, theirs)
     mine = stored(leaves(ours), "leaves")
-    found = differences(build(mine, depth), build(leaves(theirs), depth))
+    trees = build(mine, depth), build(leaves(theirs), depth)
+    found = stored(differences(*trees), "differences")
+    forget(*trees[0].levels, *trees[1].levels)
     joined = mine.join(found, "node", "full_outer")
     return joined.select(F.col("node").alias("page_id"), "file", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
