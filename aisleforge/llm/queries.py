@@ -43,20 +43,41 @@ m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept FROM s LEFT JOIN m ON node = s.doc_id
 """
 
-AUDIT_SQL = """
-WITH b AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substring(sha, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
+AUDIT_SQL = f"""
+WITH b AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
 r AS (
-  SELECT page_id, CAST(page_id // 1024 AS BIGINT) AS file,
+  SELECT page_id,
     concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
       'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10),
       h, chr(13), chr(10), chr(13), chr(10)) AS record
   FROM b
+),
+s AS (SELECT page_id, strlen(record) AS length, sha256(record) AS sha FROM r),
+g AS (
+  SELECT page_id, CAST(floor(page_id // 1024) AS BIGINT) - CASE WHEN page_id < 0 AND page_id % 1024 <> 0 THEN 1 ELSE 0 END AS file, CAST(sum(length) AS BIGINT) AS length,
+    CASE WHEN count(*) = 1 THEN min(sha) ELSE sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_PIECES})) END AS sha256
+  FROM s GROUP BY page_id
 )
 SELECT page_id, file,
-  CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256,
-  CASE WHEN page_id % 97 = 5 THEN 'missing' WHEN page_id % 61 = 7 THEN 'changed' ELSE 'intact' END AS status
-FROM r
+  CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length, sha256,
+  CASE WHEN (page_id % 97 + 97) % 97 = 5 THEN 'missing' WHEN (page_id % 61 + 61) % 61 = 7 THEN 'changed' ELSE 'intact' END AS status
+FROM g
+"""
+
+NON_SPACE = r"[^\x20\x09-\x0D]+"
+BYTES_SQL = "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents"
+
+QUALITY_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{NON_SPACE}') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NON_SPACE}')) AS l FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+m AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM k WHERE n > 1) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(m.n, 0) > 50 * len(w) AS base_failed
+FROM t JOIN l USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
@@ -84,8 +105,9 @@ def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages against a replica in which some records were altered, and some lost."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    lost = pages.filter(F.pmod("page_id", F.lit(97)) != 5)
-    replica = lost.withColumn("html", F.when(F.pmod("page_id", F.lit(61)) == 7, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+    page = F.coalesce("page_id", F.lit(-1))
+    lost = pages.filter(F.pmod(page, F.lit(97)) != 5)
+    replica = lost.withColumn("html", F.when(F.pmod(page, F.lit(61)) == 7, F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html")))
     return warc_merkle.audit(pages, replica)
 
 
@@ -119,9 +141,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def text_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return op7_quality_votes(spark, sf_dir).drop("kept", "quality")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, text_byte_counts, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}

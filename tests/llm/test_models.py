@@ -445,6 +445,36 @@ def test_audit_finds_planted_damage(spark):
     assert warc_merkle.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_audit_of_extreme_ids(spark):
+    top = 2**60 + 1023
+    ids = [top, top + 1, 2**63 - 1, -(2**63), -1, 0, 2**53 + 1, 2**53 + 2]
+    pages = spark.createDataFrame([(k, "u", None) for k in ids], "page_id long, url string, html string")
+    replica = pages.filter(f"page_id <> {top + 1}").withColumn("html", F.when(F.col("page_id") == top, " "))
+    found = {r["page_id"]: (r["file"], r["status"]) for r in warc_merkle.audit(pages, replica).collect()}
+    assert {k: f for k, (f, _) in found.items()} == {k: k >> 10 for k in ids}
+    assert {k: s for k, (_, s) in found.items() if s != "intact"} == {top: "changed", top + 1: "missing"}
+
+
+def test_audit_query_on_odd_pages(spark, tmp_path):
+    """Null html, url and ids, repeated ids: the query and its SQL agree."""
+    import duckdb
+
+    rows = [(k, f"http://x/{k}", None if k % 3 else "h" * k) for k in range(300)] + [(7, "again", None), (7, None, "x"), (None, None, None), (5, "a", "b"), (-3, "n", "m"), (-3, "n", "m")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.AUDIT_SQL).df()
+    got = queries.op4_warc_merkle_audit(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.astype(object).values.tolist())) == sorted(map(tuple, want.astype(object).values.tolist()))
+
+
+def test_nodes_cover_byte_ranges(spark):
+    """Records that swap lengths between them keep no parent's hash."""
+    leaf = "node long, file long, n long, length long, hash string, offset long"
+    a, b = (spark.createDataFrame([(0, 0, 1, x, "h0", 0), (1, 0, 1, y, "h1", x)], leaf) for x, y in ((10, 20), (20, 10)))
+    assert warc_merkle.build(a, 1).root != warc_merkle.build(b, 1).root
+
+
 def test_windows_and_lines():
     held = ["a b c d", "", "x", "p q\nr\n\np q"]
     block = next(bt.blocks(pa.array(held)))

@@ -97,6 +97,19 @@ def test_wavelet_rank_over_many_blocks():
     assert matrix.rank(token, at).tolist() == [int((ids[:p] == token).sum()) for p in at]
 
 
+def test_wavelet_select_and_wide_ids():
+    ids = np.random.default_rng(3).integers(0, 300, 200_000)
+    matrix, *_ = wavelet_store.from_file(wavelet_store.to_file(wavelet_store.WaveletMatrix.build(ids, 9), np.zeros(1), np.ones(1, bool), np.array([len(ids)])))
+    where = np.flatnonzero(ids == 77)
+    assert [matrix.select(77, k) for k in (0, 100, len(where) - 1)] == where[[0, 100, -1]].tolist()
+    lazy, *_ = wavelet_store.from_file(wavelet_store.to_file(matrix, np.zeros(1), np.ones(1, bool), np.array([len(ids)])))
+    assert lazy.access(np.array([150_000])).tolist() == [ids[150_000]] and all(len(p.held) == 1 for p in lazy.planes)
+    wide = np.array([0, 65_536, 70_000])
+    assert wavelet_store.WaveletMatrix.build(wide, 17).decode().tolist() == wide.tolist()
+    with pytest.raises(ValueError):
+        wavelet_store.WaveletMatrix.build(wide, 16)
+
+
 def test_store_reads_back_what_was_written(docs, monkeypatch):
     monkeypatch.setattr(wavelet_store, "SHARD_TOKENS", 500)
     library = Tokenizer.from_file(WORD)
@@ -108,6 +121,7 @@ def test_store_reads_back_what_was_written(docs, monkeypatch):
     for r, (doc_id, text, *_) in zip(by_start, held, strict=True):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), crc(ids))
+        assert (r["last_id"], r["n_last"]) == (2, ids.count(2))
         start += len(ids)
 
 
