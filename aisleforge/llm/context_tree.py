@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from ..operators.scratch import stored
+from ..operators.scratch import forget, stored
 
 DEPTH = 5
 END = 0xFF
@@ -194,7 +194,9 @@ def gram_probabilities(counts: DataFrame, depth: int) -> DataFrame:
         one = F.try_element_at("chances", (F.lit(1 << j) + F.shiftright("symbol", 8 - j)).cast("int"))
         chance = F.when(F.shiftright("symbol", 7 - j).bitwiseAND(F.lit(1)) == 1, one).otherwise(1 - one)
         logp = logp + F.log10(F.greatest(chance, F.lit(1e-300)))
-    return told.select("key", "n", logp.alias("logp"))
+    model = stored(told.select("key", "n", logp.alias("logp")), "gram-model")
+    forget(*levels.values())
+    return model
 
 
 def _head(table: DataFrame, most: int, value: str) -> tuple[int, bt.KeyTable]:
@@ -233,7 +235,7 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth
     totals = words.filter("n > 0").agg(F.sum("n"), F.count("*")).first()
     n_train, n_distinct = int(totals[0] or 0), int(totals[1])
     scale = float(np.log10(n_train + 0.1 * (n_distinct + 1)))
-    model = stored(gram_probabilities(counts.filter(F.col("kind") == GRAM), depth), "gram-model")
+    model = gram_probabilities(counts.filter(F.col("kind") == GRAM), depth)
     head_words, head_grams = (spark.sparkContext.broadcast(_head(t, most, v)[1]) for t, most, v in ((words, HEAD_WORDS, "n"), (model, HEAD_GRAMS, "logp")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
