@@ -107,11 +107,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, least: np.ndarray | None = None, tally: list[int] | None = None) -> tuple[np.ndarray, ...]:
+def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, least: np.ndarray | None = None, least_ids: np.ndarray | None = None, tally: list[int] | None = None) -> tuple[np.ndarray, ...]:
     """query number, vec_id, score of each query's best k of a block; data: [dim, candidate].
 
-    least: scores that are known to be reached by k candidates of each query, anywhere.  tally gathers how many
-    (query, candidate) pairs were scored in full, and how many there are.
+    least, least_ids: the score and id of each query's k-th best of some candidates; what comes after it is in no result.
+    tally gathers how many (query, candidate) pairs were scored in full, and how many there are.
     """
     dims, n = data.shape
     floor = np.full(len(queries), -np.inf) if least is None else least.astype(float)
@@ -147,7 +147,10 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, d
         if len(alive) > k + 1:
             ranked = np.where(valid, scores.astype(np.float64), -np.inf)
             kth = np.maximum(kth, np.partition(ranked, len(alive) - k, axis=1)[:, len(alive) - k])
-        q, c = np.nonzero(valid & (scores >= kth[:, None]))
+        good = valid & (scores >= kth[:, None])
+        if least_ids is not None:
+            good &= (scores > floor[lo : lo + LIKE, None]) | (ids[alive][None, :] <= least_ids[lo : lo + LIKE, None])
+        q, c = np.nonzero(good)
         if not len(q):
             continue
         score = scores[q, c] if scores.dtype == np.int64 else scores[q, c].astype(np.int64)
@@ -188,30 +191,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         for batch in batches:
             for asked_by, *row in zip(batch.column("asked"), *(batch.column(c) for c in columns), strict=True):
                 names, queries, ids, data = unpacked(row)
-                q, _, score = best_of_block(names, queries, ids, data, k)
-                least = np.full(len(names), -np.inf)
+                q, found, score = best_of_block(names, queries, ids, data, k)
+                least, least_ids = np.full(len(names), -np.inf), np.full(len(names), 2**63 - 1)
                 full = np.bincount(q, minlength=len(names)) == k
                 last = np.flatnonzero(np.append(np.diff(q) != 0, True)) if len(q) else q
-                least[q[last]] = score[last]
-                yield pa.RecordBatch.from_arrays([pa.array([asked_by.as_py()]), pa.array([np.where(full, least, -np.inf).astype("<f8").tobytes()], pa.binary())], ["asked", "least"])
+                exact = np.abs(score[last].astype(float)) < 2**53
+                least[q[last[exact]]], least_ids[q[last[exact]]] = score[last[exact]], found[last[exact]]
+                least = np.where(full, least, -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array([asked_by.as_py()]), pa.array([least.astype("<f8").tobytes()], pa.binary()), pa.array([least_ids.astype("<i8").tobytes()], pa.binary())], ["asked", "least", "least_ids"])
 
     # one block of candidates for each cell, in some copies as most queries may lie in one cell
     salts = max(1, min(64, asked.count() // 16))
     near = candidates.join(candidates.groupBy("dims", "cell").agg(F.min("number").alias("number")), ["dims", "cell", "number"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     met = asked.select("asked", "dims", "cell", "qn", "qids", "qdata").withColumn("salt", F.pmod(F.xxhash64("asked"), F.lit(salts))).join(near, ["dims", "cell", "salt"]).select("asked", *columns)
-    bounded = asked.join(met.mapInArrow(first_pass, "asked long, least binary"), "asked")
+    bounded = asked.join(met.mapInArrow(first_pass, "asked long, least binary, least_ids binary"), "asked")
     groups = groups or max(1, -(-candidates.count() // GROUP))
     dealt = candidates.withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
     copies = stored(bounded, "bounded-queries").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for least, *row in zip(batch.column("least"), *(batch.column(c) for c in columns), strict=True):
+            for least, least_ids, *row in zip(batch.column("least"), batch.column("least_ids"), *(batch.column(c) for c in columns), strict=True):
                 names, queries, ids, data = unpacked(row)
-                q, found, score = best_of_block(names, queries, ids, data, k, np.frombuffer(least.as_py(), "<f8"))
+                q, found, score = best_of_block(names, queries, ids, data, k, np.frombuffer(least.as_py(), "<f8"), np.frombuffer(least_ids.as_py(), "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    every = dealt.join(copies.drop("cell", "asked"), ["group", "dims"]).select("least", *columns).mapInArrow(run, "query_id long, vec_id long, score long")
+    every = dealt.join(copies.drop("cell", "asked"), ["group", "dims"]).select("least", "least_ids", *columns).mapInArrow(run, "query_id long, vec_id long, score long")
     forget(asked)
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

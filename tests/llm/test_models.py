@@ -424,7 +424,7 @@ def test_bounds_drop_most_candidates_of_clustered_vectors():
     queries, names = np.ascontiguousarray(data[:, :32].T), np.arange(32)
     _, _, score = topk_search.best_of_block(names, queries, np.arange(4000), data, 20)
     tally = [0, 0]
-    q, ids, again = topk_search.best_of_block(names, queries, np.arange(4000), data, 20, score.reshape(32, 20)[:, -1], tally)
+    q, ids, again = topk_search.best_of_block(names, queries, np.arange(4000), data, 20, score.reshape(32, 20)[:, -1], tally=tally)
     assert (again == score).all() and tally[1] == 32 * 4000 and tally[0] < 0.1 * tally[1]
 
 
