@@ -59,8 +59,11 @@ def _celled(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, x array<double>, q boolean, dims int, cell int")
 
 
-def _blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
-    """dims, cell, n, ids, data: blocks of at most `rows` vectors of one cell, float64 integers dimension by dimension."""
+def _blocks(vectors: DataFrame, rows: int, scale: float, n: int) -> DataFrame:
+    """dims, cell, n, ids, data: blocks of at most `rows` vectors of one cell, float64 integers dimension by dimension.
+
+    n: about how many vectors there are; a task takes some blocks' worth, however finely they were dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -91,7 +94,7 @@ def _blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
 
     # ranges split a cell, or an id, that many rows have
     order = ("dims", "cell", F.xxhash64("vec_id"), F.spark_partition_id())
-    return vectors.repartitionByRange(*order).sortWithinPartitions("dims", "cell", "vec_id").mapInArrow(run, "dims int, cell int, n int, ids binary, data binary").withColumn("number", F.monotonically_increasing_id())
+    return vectors.repartitionByRange(*order).sortWithinPartitions("dims", "cell", "vec_id").coalesce(max(4, n // (4 * rows))).mapInArrow(run, "dims int, cell int, n int, ids binary, data binary").withColumn("number", F.monotonically_increasing_id())
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,9 +180,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """query_id, rank, vec_id, score: for each row for which is_query holds its k best other rows."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    celled = _celled(usable, _pivots(usable, usable.count()))
-    candidates = stored(_blocks(celled, BLOCK, scale), "candidate-blocks")
-    asked = stored(_blocks(celled.filter("q"), QUERY_BLOCK, scale).select("dims", "cell", F.col("number").alias("asked"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata")), "query-blocks")
+    n, n_asked = usable.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
+    celled = _celled(usable, _pivots(usable, n))
+    candidates = stored(_blocks(celled, BLOCK, scale, n), "candidate-blocks")
+    asked = stored(_blocks(celled.filter("q"), QUERY_BLOCK, scale, n_asked).select("dims", "cell", F.col("number").alias("asked"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata")), "query-blocks")
 
     def unpacked(row: tuple) -> tuple[np.ndarray, ...]:
         dims, n, ids, data, qn, qids, qdata = (x.as_py() for x in row)
