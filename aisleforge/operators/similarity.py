@@ -21,12 +21,13 @@ from .scratch import stored
 
 
 def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
-    """(id, token) of the tokens by which a set can meet another one of Jaccard >= least."""
-    spread = sets.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("token"), F.size(F.array_distinct(tokens)).alias("n"))
+    """(id, n, at, token) of the tokens by which a set of n can meet another one of Jaccard >= least, and their places in the order."""
+    # sizes are taken before the rows are spread: after it they would be taken for every token
+    spread = sets.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t")).select("id", "t", F.size("t").alias("n")).select("id", "n", F.explode("t").alias("token"))
     rarity = spread.groupBy("token").agg(F.count("*").alias("df"))
     ordered = spread.join(rarity, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))
     take = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1
-    return ordered.select("id", F.explode(F.slice(F.col("x.token"), F.lit(1), take)).alias("token"))
+    return ordered.select("id", "n", F.posexplode(F.slice(F.col("x.token"), F.lit(1), take)).alias("at", "token"))
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
@@ -37,10 +38,18 @@ def jaccard_pairs(sets: DataFrame, id_col: str, tokens: str, least: float) -> Da
     sets = stored(sets.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t")), "token-sets")
     id_col, tokens = "id", "t"
     keys = prefixes(sets, id_col, tokens, least)
-    other = keys.withColumnRenamed("id", "b")
-    candidates = keys.withColumnRenamed("id", "a").join(other, "token").filter("a < b").select("a", "b").distinct()
-    held = sets
-    rated = candidates.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "token") for x in ("a", "b"))
+    # up to a shared token at most as many are shared as the shorter way there has, after it as the shorter rest has
+    most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = most * (1 + least) >= (F.col("na") + F.col("nb")) * F.lit(least) - 1e-6
+    met = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.greatest("na", "nb") * F.lit(least) <= F.least("na", "nb") + 1e-6) & fits)
+    candidates = met.select("a", "b").distinct()
+    # numbers are compared before words, with one to spare as two words may share a hash
+    held = sets.select("id", "t", F.array_distinct(F.transform("t", lambda w: F.xxhash64(w))).alias("h"))
+    numbers = candidates.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb")) + 1
+    likely = numbers.filter(shared * (1 + least) >= (F.size("ha") + F.size("hb")) * F.lit(least) - 1e-6).select("a", "b")
+    rated = likely.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     return rated.select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
