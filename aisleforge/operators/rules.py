@@ -7,6 +7,8 @@ code generation handles without a join. Keyword dimensions that are tables of th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +96,17 @@ def similar_category(words: Column, catalog: list[Rule]) -> Column:
     return F.struct(best["confidence"].alias("confidence"), best["category"].alias("category"))
 
 
+def cluster_match(words: Column, clusters: list[tuple[str, float, tuple[str, ...]]], least: float = 0.8) -> Column:
+    """struct(category, confidence) of the first cluster (name, confidence, types) with a type whose word Jaccard is over `least`, else null."""
+    own = F.array_distinct(words)
+    found = []
+    for name, confidence, types in clusters:
+        listed = [F.array(*map(F.lit, dict.fromkeys(t.lower().split()))) for t in types]
+        near = [F.size(F.array_intersect(own, t)) / F.size(F.array_union(own, t)) > least for t in listed]
+        found.append(F.when(reduce(or_, near), F.struct(F.lit(name).alias("category"), F.lit(confidence).alias("confidence"))))
+    return F.coalesce(*found, F.lit(None).cast("struct<category:string,confidence:double>"))
+
+
 def cascade(rule: Column, cluster: Column, answer: Column, similar: Column, generic: Column) -> Column:
     """struct(category, confidence, method) of the first stage that is sure enough.
 

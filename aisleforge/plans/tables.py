@@ -10,6 +10,9 @@ CATALOG = [
     Rule("Heavy Goods", ("anvil", "large", "hammer")),
     Rule("Warm Goods", ("hot", "red", "warm", "fire")),
 ]
+CASCADE = [*CATALOG, Rule("Cold Goods", ("col", "frozen", "icy"))]
+#: discovered clusters as (name, confidence, product types)
+CLUSTERS = [("Old Stock", 0.7, ("old rod", "old ring")), ("Plates", 0.8, ("plate blue", "new plate"))]
 REPAIRS = [Rule("Fasteners", ("bolt", "ring")), Rule("Machines", ("gear", "gizmo", "widget")), Rule("Heavy", ("anvil", "plate"))]
 STANDARD = {"ECONOMY": "Value", "LARGE": "Bulk", "MEDIUM": "Regular", "SMALL": "Regular", "PROMO": "Promotions", "Value": "Value", "Bulk": "Bulk", "Regular": "Regular", "Promotions": "Promotions", "Other Products": "Other Products"}
 CONSOLIDATED = {"ECONOMY": "Everyday", "SMALL": "Everyday", "MEDIUM": "Everyday", "LARGE": "Special", "PROMO": "Special"}

@@ -155,6 +155,13 @@ def test_cascade_order(spark):
     assert [x.method for x in row] == ["rule", "cluster", "similarity", "low_answer", "low_rule", "generic"]
 
 
+def test_cluster_match(spark):
+    df = spark.createDataFrame([(["iced", "tea"],), (["tea", "tea", "green"],), (["soap"],), ([],), (None,)], "w array<string>")
+    clusters = [("Teas", 0.7, ("green tea", "tea iced")), ("All", 0.8, ("iced tea", "soap"))]
+    assert [r.c and tuple(r.c) for r in df.select(R.cluster_match(F.col("w"), clusters).alias("c")).collect()] == [("Teas", 0.7), ("Teas", 0.7), ("All", 0.8), None, None]
+    assert df.select(R.cluster_match(F.col("w"), []).alias("c")).filter("c IS NOT NULL").count() == 0
+
+
 def test_origin_cascade(spark):
     brands = spark.createDataFrame([("Siam Gold", "local"), ("Northstar", "international")], "brand string, origin string")
     df = spark.createDataFrame([("siam gold ", ""), ("ข้าวหอม", ""), ("Northstor", ""), ("Zzz", "imported from europe"), ("Qqq", "plain"), ("unknown", "thai"), (None, "")], "brand string, words string")
