@@ -157,16 +157,21 @@ def canonical_products(products: DataFrame, config: Config = Config()) -> DataFr
 def image_clusters(images: DataFrame, config: Config = Config()) -> DataFrame:
     """(node, root) of images (id, tokens, embedding) with 0.6 cosine + 0.4 Jaccard >= 1 - eps; lone images have no row.
 
-    As the cosine is at most 1, such pairs have a Jaccard of at least 0.5, or two empty sets, which count as equal.
+    As the cosine is at most 1, such pairs have a Jaccard of at least 0.5, or two empty sets, which count as equal. Images alike in
+    words and vector hang on the smallest id of them, which alone meets others.
     """
     least = (1 - config.image_eps - 0.6) / 0.4
-    worded = jaccard_pairs(images.filter(F.size("tokens") > 0), "id", "tokens", least)
-    empty = images.filter(F.size("tokens") == 0)
+    close = lambda cosine, jaccard: 1 - (cosine * 0.6 + jaccard * 0.4) <= config.image_eps
+    held = images.select("id", "tokens", F.transform(F.col("embedding"), lambda x: x.cast("double")).alias("v"))
+    keyed = held.withColumn("k", F.sha2(F.concat_ws("\u0002", F.array_join(F.array_sort("tokens"), "\u0001"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",")), 256))
+    firsts = stored(keyed.groupBy("k").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"), F.min_by("v", "id").alias("v")), "images")
+    copies = keyed.join(firsts.select("k", F.col("id").alias("a")), "k").filter((F.col("a") != F.col("id")) & close(scores.cosine(F.col("v"), F.col("v")), 1.0)).select("a", F.col("id").alias("b"))
+    worded = jaccard_pairs(firsts.filter(F.size("tokens") > 0), "id", "tokens", least)
+    empty = firsts.filter(F.size("tokens") == 0)
     bare = empty.select(F.col("id").alias("a"), F.lit(0).alias("k")).join(empty.select(F.col("id").alias("b"), F.lit(0).alias("k")), "k").filter("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    vectors = images.select("id", F.transform(F.col("embedding"), lambda x: x.cast("double")).alias("v"))
-    pairs = worded.unionByName(bare).join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    linked = pairs.filter(1 - (scores.cosine(F.col("va"), F.col("vb")) * 0.6 + F.col("jaccard") * 0.4) <= config.image_eps)
-    return connected_components(linked)
+    pairs = worded.unionByName(bare).join(firsts.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(firsts.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    linked = pairs.filter(close(scores.cosine(F.col("va"), F.col("vb")), F.col("jaccard"))).select("a", "b")
+    return connected_components(linked.unionByName(copies))
 
 
 def tiers(points: DataFrame, group: list[str], y: str, eps: float = 0.1, most: int = 6) -> DataFrame:

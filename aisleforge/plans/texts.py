@@ -246,6 +246,27 @@ def tfidf_kmeans(spark, sf_dir):
     return clustered.select("product_type", "cluster").join(cluster_names(clustered, vocabulary), "cluster")
 
 
+@query(None)
+def category_clusters(spark, sf_dir):
+    """Discovered categories of product types: k-means of many sizes and density clusters, the largest of each name."""
+    from ..operators.topics import cluster_names, merged_names, pooled_clusters
+
+    found, vocabulary = pooled_clusters(products(spark, sf_dir).select("product_type").distinct(), "product_type")
+    by = ["run", "cluster"]
+    sized = found.groupBy(*by).agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("product_type")), ", ").alias("product_types"))
+    return merged_names(sized.join(cluster_names(found, vocabulary, by=by), by), by)
+
+
+@query(None)
+def cluster_coherence(spark, sf_dir):
+    """Clusters of the products without a category, by type and brand, with the share of their most frequent type."""
+    from ..operators.topics import coherent_clusters
+
+    rest = products(spark, sf_dir).filter("category = 'Other Products'").select("product_type", F.lower(F.concat_ws(" ", "product_type", "brand")).alias("description"))
+    found = coherent_clusters(rest, "product_type", "description")
+    return found.select("cluster", "size", F.array_join("top_types", ", ").alias("top_types"), F.round("coherence", 6).alias("coherence"))
+
+
 @query("""WITH o AS (SELECT l_orderkey AS image_id, p_name AS object, l_discount AS score, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey), p AS (SELECT DISTINCT o_orderkey AS image_id, o_orderkey AS product, 'gear' AS w FROM orders),
 r AS (SELECT product, object, score, row_number() OVER (PARTITION BY product ORDER BY contains(object, w) DESC, score DESC, object) AS k FROM p JOIN o ON p.image_id = o.image_id) SELECT product, object, score FROM r WHERE k = 1""", products=False)
 def object_match(spark, sf_dir):

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -68,6 +69,13 @@ def test_duplicate_products_at_the_border(spark):
     assert found == {1: 1, 2: 1, 5: 1}  # 5 is not linked to 1 on the same image, but through 2
 
 
+def test_image_clusters_collapse_copies(spark):
+    rows = [(i, ["a", "b"], [1.0, 0.0]) for i in range(300)] + [(300, ["a", "b"], [0.9, 0.1]), (301, [], [1.0, 0.0]), (302, [], [1.0, 0.0]), (303, [], [0.0, 0.0]), (304, [], [0.0, 0.0]), (305, ["z"], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, embedding array<double>")
+    found = {r.node: r.root for r in S.image_clusters(df).collect()}
+    assert found == {i: 0 for i in range(301)} | {301: 301, 302: 301}
+
+
 def test_image_clusters_drop_lone_images(spark):
     rows = [(1, ["a", "b"], [1.0, 0.0]), (2, ["a", "b"], [1.0, 0.1]), (3, [], [0.0, 1.0]), (4, [], [0.0, 1.0]), (5, ["z"], [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, tokens array<string>, embedding array<double>")
@@ -185,7 +193,44 @@ def test_topics(spark):
     assert len(groups) >= 2
     names = cluster_names(clustered, words)
     assert names.count() == 2
-    sizes = spark.createDataFrame([(0, 5), (1, 3)], "cluster int, n int")
-    same = spark.createDataFrame([(0, "Tea Soap"), (1, "soap tea")], "cluster int, name string")
-    assert merged_names(same, sizes) == {0: 0, 1: 0}
+    same = spark.createDataFrame([(0, 3, "Tea Soap"), (1, 5, "soap tea"), (2, 5, "Tea soap"), (3, 1, "Soap")], "cluster int, n int, name string")
+    assert {r.cluster for r in merged_names(same).collect()} == {1, 3}
     assert isinstance(clustered.toPandas(), pd.DataFrame)
+
+
+def brute_dbscan(points, eps, least):
+    unit = {k: v / np.linalg.norm(v) for k, v in points.items() if np.linalg.norm(v) > 0}
+    near = {k: {j for j, w in unit.items() if v @ w >= 1 - eps - 1e-9} for k, v in unit.items()}
+    core = {k for k in near if len(near[k]) >= least}
+    root = {k: k for k in core}
+    for _ in unit:
+        root = {k: min(root[j] for j in near[k] & core) for k in core}
+    return {k: min(root[j] for j in near[k] & core) for k in near if near[k] & core}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_density_clusters(spark, seed):
+    from pyspark.ml.linalg import Vectors
+
+    from aisleforge.operators.topics import dbscan
+
+    rnd = np.random.default_rng(seed)
+    points = {i: np.where(rnd.random(12) < 0.3, rnd.integers(1, 4, 12), 0).astype(float) for i in range(60)}
+    points |= {60: points[3], 61: points[3], 62: points[3] * 2, 63: np.zeros(12)}
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in points.items()], ["id", "features"])
+    for eps, least in ((0.5, 3), (0.15, 3), (0.3, 5)):
+        found = {r.id: r.cluster for r in dbscan(df, "id", eps=eps, min_samples=least).collect()}
+        assert found == brute_dbscan(points, eps, least)
+
+
+def test_pooled_and_coherent_clusters(spark):
+    from aisleforge.operators.topics import coherent_clusters, pooled_clusters
+
+    df = spark.createDataFrame([(f"{a} {b}",) for a in ("green", "black", "iced", "herbal") for b in ("tea", "soap", "rice")], "t string")
+    found, _ = pooled_clusters(df, "t")
+    sizes = Counter((r.run, r.cluster) for r in found.collect())
+    assert min(sizes.values()) >= 3 and {r for r, _ in sizes} <= {"kmeans-03", "density"}
+    assert pooled_clusters(df.limit(4), "t")[0].count() == 0
+    rows = coherent_clusters(df.withColumn("kind", F.element_at(F.split("t", " "), 2)), "kind", "t").collect()
+    assert sum(r["size"] for r in rows) == 12 and all(0 < r.coherence <= 1 and len(r.top_types) <= 3 for r in rows)
+    assert coherent_clusters(df.limit(0), "t", "t").count() == 0
