@@ -225,7 +225,7 @@ def canonical_products(spark, sf_dir):
     return found.withColumns({"source_images": F.array_join("source_images", ","), "similarity": F.round("similarity", 4)})
 
 
-@query(f"WITH RECURSIVE {EMBEDDED}, l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND 1 - (0.6::DOUBLE * list_cosine_similarity(a.e, b.e) + 0.4::DOUBLE * CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 1 ELSE {SAME_WORDS} END) <= 0.2), {ROOTS} SELECT node, root FROM c", products=False)
+@query(f"WITH RECURSIVE {EMBEDDED}, w AS (SELECT *, len(t) AS n FROM v), h AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.id < b.id AND 2 * a.n >= b.n AND 2 * b.n >= a.n AND 1 - (0.6::DOUBLE * list_cosine_similarity(a.e, b.e) + 0.4::DOUBLE * CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 1 ELSE {SAME_WORDS} END) <= 0.2), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h), {ROOTS} SELECT node, root FROM c", products=False)
 def image_clusters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("tokens"), scores.hash_embedding(F.col("text")).alias("embedding"))
     return S.image_clusters(d)
