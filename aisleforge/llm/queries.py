@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, warc_merkle, wavelet_store
+from . import context_tree, importance_resampling, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, warc_merkle, wavelet_store
 
 
 TOP_K_SQL = """
@@ -80,6 +80,21 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(
 FROM t JOIN l USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+RESAMPLING_SQL = r"""
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+e AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM d UNION ALL SELECT w FROM e)),
+b AS (SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(CAST(strlen(w) AS BIGINT)), lambda i: CAST('0x' || substring(hex(w), 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM v, tab),
+s AS (SELECT k, count(*) AS n FROM d JOIN b USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM e JOIN b USING (w) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k)),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN b USING (w) JOIN g USING (k) GROUP BY doc_id),
+c AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, coalesce(weight, 0) AS weight FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS n FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN n <= 10 * (SELECT count(*) FROM r WHERE n IS NOT NULL) // 100 THEN n END AS rank FROM r
+"""
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -141,6 +156,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def text_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op5 that SQL can express."""
     return op5_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
@@ -152,8 +171,8 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, text_byte_counts, quality_base_counts)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, op11_importance_resampling, text_byte_counts, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "op11_importance_resampling": RESAMPLING_SQL, "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
