@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, importance_resampling, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, warc_merkle, wavelet_store
+from . import context_tree, importance_resampling, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, vector_codes, warc_merkle, wavelet_store
 
 
 TOP_K_SQL = """
@@ -96,6 +96,29 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n <= 10 * (SELECT count(*) F
 """
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """Rounds of assigning parts to entries and averaging them, one after the other."""
+    nearest = "SELECT vec_id, p.k, min(list_sum(list_transform(range(1, len(p.y) + 1), lambda i: (p.y[i] - c.y[i]) * (p.y[i] - c.y[i]))) * 16 + e) AS m FROM p JOIN c{0} c ON c.k = p.k GROUP BY vec_id, p.k"
+    averaged = "SELECT a.k, m % 16 AS e, j, CAST(floor(sum(y[j]) / count(*)) AS BIGINT) AS z FROM a{0} a JOIN p ON p.vec_id = a.vec_id AND p.k = a.k, (SELECT unnest(range(1, n + 1)) AS j FROM s) GROUP BY ALL"
+    steps = "".join(
+        f", a{r} AS MATERIALIZED ({nearest.format(r)}), u{r} AS MATERIALIZED ({averaged.format(r)}), c{r + 1} AS MATERIALIZED (SELECT k, e, coalesce(z, y) AS y FROM c{r} LEFT JOIN (SELECT k, e, list(z ORDER BY j) AS z FROM u{r} GROUP BY k, e) USING (k, e))"
+        for r in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (SELECT max(len(x)) // 8 AS n FROM v),
+p AS MATERIALIZED (SELECT vec_id, k, x[k * n + 1:k * n + n] AS y FROM v, s, (SELECT unnest(range(8)) AS k)),
+c0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, y FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)){steps},
+a AS MATERIALIZED ({nearest.format(rounds)}),
+d AS (SELECT vec_id, string_agg(printf('%02x', m % 16), '' ORDER BY k) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY k, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM d JOIN v USING (vec_id), h
+"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -160,6 +183,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def text_byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op5 that SQL can express."""
     return op5_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
@@ -171,8 +198,8 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, op11_importance_resampling, text_byte_counts, quality_base_counts)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, op11_importance_resampling, op13_vector_codes, text_byte_counts, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "op11_importance_resampling": RESAMPLING_SQL, "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "op11_importance_resampling": RESAMPLING_SQL, "op13_vector_codes": _codes_sql(), "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
