@@ -111,20 +111,32 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: a polynomial over random byte values, then a finalizer."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
-    terms = _BYTE[data]
-    terms *= power[:-1]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(terms, out=total[1:])
+def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of 64-bit values: a polynomial over them, then a finalizer."""
+    power, inverse = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:-1], out=total[1:])
     found = total[ends] - total[starts]
     found *= inverse[starts]
     return mix(found)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, each byte standing for a random value."""
+    return hash_ranges(_BYTE[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges one after the other with one space between, and where each begins and ends."""
+    size = ends - starts
+    new_ends = np.cumsum(size + 1) - 1
+    new_starts = new_ends - size
+    tight = np.full(int(new_ends[-1]) + 1 if len(size) else 0, 0x20, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    tight[np.repeat(new_starts, size) + at] = data[np.repeat(starts, size) + at]
+    return tight, new_starts, new_ends
+
+
 def words(block: Block, lower: bool, gaps: np.ndarray = SPACE) -> Spans:
     """Maximal runs of bytes that are not gaps, by default not white space; a text's end ends a word."""
     data = LOWER[block.data] if lower else block.data

@@ -62,13 +62,8 @@ def block_buckets(block: bt.Block, longest: int, buckets: int) -> tuple[np.ndarr
     n_words = np.diff(words.first)
     if longest == 1:
         return (crc32_spans(data, words.starts, words.ends) % buckets).astype("<u2"), words.first, n_words
-    # words of the block one after the other with one space between, so that a run is a byte range
-    size = words.ends - words.starts
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    tight = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    tight[np.repeat(starts, size) + at] = data[np.repeat(words.starts, size) + at]
+    # a run of words is a byte range where they stand with one space between
+    tight, starts, ends = bt.spaced(data, words.starts, words.ends)
     row, found, rows = words.row_of(), [], []
     for n in range(1, longest + 1):
         last = np.arange(n - 1, len(starts))

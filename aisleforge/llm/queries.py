@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, importance_resampling, minhash_dedup, packing, quality_votes, sentencepiece_scan, token_counts, topk_search, toxicity_fm, vector_codes, warc_merkle, wavelet_store
+from . import context_tree, importance_resampling, minhash_dedup, packing, quality_votes, sentencepiece_scan, substring_dedup, token_counts, topk_search, toxicity_fm, vector_codes, warc_merkle, wavelet_store
 
 
 TOP_K_SQL = """
@@ -95,6 +95,17 @@ r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY
 SELECT doc_id, n_features, weight, score, CASE WHEN n <= 10 * (SELECT count(*) FROM r WHERE n IS NOT NULL) // 100 THEN n END AS rank FROM r
 """
 
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+x AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM i),
+f AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k),
+r AS (SELECT DISTINCT doc_id, i + j AS i FROM x JOIN f USING (k), (SELECT unnest(range(50)) AS j) WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 
 def _codes_sql(rounds: int = 6) -> str:
     """Rounds of assigning parts to entries and averaging them, one after the other."""
@@ -183,6 +194,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -198,8 +213,8 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, op11_importance_resampling, op13_vector_codes, text_byte_counts, quality_base_counts)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_context_tree_scores, op3_sentencepiece_scan, op4_warc_merkle_audit, op5_token_counts, op6_wavelet_token_store, op7_quality_votes, op8_topk_search, op9_toxicity_fm, op10_best_fit_packing, op11_importance_resampling, op12_substring_dedup, op13_vector_codes, text_byte_counts, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "op11_importance_resampling": RESAMPLING_SQL, "op13_vector_codes": _codes_sql(), "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
+    return {"op1_minhash_dedup": DEDUP_SQL, "op4_warc_merkle_audit": AUDIT_SQL, "op8_topk_search": TOP_K_SQL, "op11_importance_resampling": RESAMPLING_SQL, "op12_substring_dedup": REPEATS_SQL, "op13_vector_codes": _codes_sql(), "text_byte_counts": BYTES_SQL, "quality_base_counts": QUALITY_SQL}
