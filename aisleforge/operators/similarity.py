@@ -5,19 +5,24 @@ qualifying pair must share:
  - Jaccard >= t: two sets that reach t share a token among the first |s| - ceil(t |s|) + 1 of each in one global order
    (prefix filter), with the order by rarity so that frequent tokens are rarely a key;
  - product similarity over 1 - eps = 0.85: without equal brand and type at most 0.7, so these are the key;
- - image duplicates by two of three criteria: pairs come from the prefix filter or share one of the
-   bands of their hash.
+ - image duplicates by two of three criteria: pairs come from the prefix filter or share a part of their hash,
+   and only those are compared by pixels.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import images as pictures
 from ..functions import scores, text
+from .buckets import bucket_pairs
 from .components import connected_components
-from .scratch import stored
+from .scratch import joined_apart, stored
 
 
 def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
@@ -30,27 +35,30 @@ def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFra
     return ordered.select("id", "n", F.posexplode(F.slice(F.col("x.token"), F.lit(1), take)).alias("at", "token"))
 
 
-def jaccard_pairs(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) with a < b of all pairs of sets with a token each, at or above `least`.
+def jaccard_pairs(sets: DataFrame, id_col: str, tokens: str, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, jaccard) with a < b of all pairs of sets with a token each, at or above `least`; with `by`, of rows equal there (nulls equal nothing).
 
     The sets are read four times, so they are written once instead of being computed from texts each time.
     """
-    sets = stored(sets.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("t")), "token-sets")
-    id_col, tokens = "id", "t"
-    keys = prefixes(sets, id_col, tokens, least)
-    left, right = (keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "token") for x in ("a", "b"))
+    # within the rows that may be paired a token is a token of their own, so those of others are never met
+    kind = F.xxhash64(*by).cast("string") if by else F.lit("")
+    rows = sets.filter(F.forall(F.array(*[F.col(c).isNotNull() for c in by]), lambda x: x)) if by else sets
+    sets = stored(rows.select(F.col(id_col).alias("id"), kind.alias("kind"), F.array_distinct(tokens).alias("t")), "token-sets")
+    keys = prefixes(sets.select("id", F.transform("t", lambda w: F.concat("kind", F.lit(" "), w)).alias("t")) if by else sets.select("id", "t"), "id", "t", least)
     # up to a shared token at most as many are shared as the shorter way there has, after it as the shorter rest has
-    most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    fits = most * (1 + least) >= (F.col("na") + F.col("nb")) * F.lit(least) - 1e-6
-    met = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.greatest("na", "nb") * F.lit(least) <= F.least("na", "nb") + 1e-6) & fits)
-    candidates = met.select("a", "b").distinct()
+    na, nb, ata, atb = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
+    most = F.least(ata, atb) + F.least(na - ata, nb - atb)
+    fits = most * (1 + least) >= (na + nb) * F.lit(least) - 1e-6
+    met = bucket_pairs(keys, "token", "id", (F.greatest(na, nb) * F.lit(least) <= F.least(na, nb) + 1e-6) & fits)
+    candidates = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     # numbers are compared before words, with one to spare as two words may share a hash
     held = sets.select("id", "t", F.array_distinct(F.transform("t", lambda w: F.xxhash64(w))).alias("h"))
     numbers = candidates.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb")) + 1
     likely = numbers.filter(shared * (1 + least) >= (F.size("ha") + F.size("hb")) * F.lit(least) - 1e-6).select("a", "b")
-    rated = likely.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return rated.select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    words = sets.select("id", "kind", "t")
+    rated = likely.join(words.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("t").alias("ta")), "a").join(words.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("t").alias("tb")), "b")
+    return rated.filter("ka = kb").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def cosine_pairs(vectors: DataFrame, id_col: str, vector: str, block: str, least: float) -> DataFrame:
@@ -71,35 +79,141 @@ def jaccard_links(sets: DataFrame, id_col: str, set_col: str, least: float) -> D
     return jaccard_pairs(firsts.select(F.col("first").alias("id"), "s"), "id", "s", least).select("a", "b").unionByName(copies)
 
 
-def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int, length: int = 16) -> DataFrame:
-    """(a, b, distance) with a < b of hashes of one length that differ in at most `most` characters.
+def hamming_keys(hash_col: str, length: int, most: int, parts: int) -> list[Column]:
+    """Keys of which two hashes that differ in at most `most` characters share one at least.
 
-    With most + 1 bands of neighbouring characters, two such hashes agree on one whole band at least.
+    Of `parts` neighbouring parts one has at most most // parts of the differences, so some choice of its other characters is equal in both.
     """
-    bands = min(most + 1, length)
-    cuts = [length * k // bands for k in range(bands + 1)]
-    keyed = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring(hash_col, cuts[k] + 1, cuts[k + 1] - cuts[k])) for k in range(bands)])).alias("band"))
-    left, right = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band"), keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band")
-    met = left.join(right, "band").filter("a < b").select("a", "b", "ha", "hb").distinct()
-    return met.select("a", "b", scores.hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= most)
+    found = []
+    for p in range(parts):
+        places = range(length * p // parts, length * (p + 1) // parts)
+        for k, chosen in enumerate(combinations(places, len(places) - most // parts)):
+            found.append(F.concat(F.lit(f"{p}.{k}:"), *[F.substring(hash_col, i + 1, 1) for i in chosen]))
+    return found
+
+
+def hamming_parts(n: int, length: int, most: int) -> int:
+    """The number of parts with the least work for n hashes: their keys, and those that meet by chance on a key of so many characters."""
+
+    def work(parts: int) -> float:
+        sizes = [length * (p + 1) // parts - length * p // parts for p in range(parts)]
+        spare = most // parts
+        if min(sizes) <= spare:
+            return math.inf
+        keys = sum(math.comb(s, spare) for s in sizes)
+        return keys * (1 + n / 16 ** (min(sizes) - spare))
+
+    return min(range(1, min(most + 1, length) + 1), key=work)
+
+
+def nibbles(hash_col: Column) -> Column:
+    """The number that up to 16 lower-case hex characters stand for, else null."""
+    padded = F.lpad(hash_col, 16, "0")
+    half = lambda at: F.conv(F.substring(padded, at, 8), 16, 10).cast("long")
+    return F.when(hash_col.rlike("^[0-9a-f]{1,16}$"), F.shiftleft(half(1), 32).bitwiseOR(half(9)))
 
 
-def image_duplicates(images: DataFrame, config: Config = Config()) -> DataFrame:
-    """(a, b, criteria) of images (id, phash, tokens[, ssim is a pair table]) that meet at least two criteria.
+def differing(a: str, b: str, number_a: str, number_b: str) -> Column:
+    """Differing characters of two hashes of one length, by their bits where both are numbers."""
+    x = F.col(number_a).bitwiseXOR(F.col(number_b))
+    folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    bits = F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.when(x.isNotNull(), bits).otherwise(scores.hamming(F.col(a), F.col(b)))
 
-    The hash criterion is 1 - differing / 16 >= 1 - 6 / 16, the token criterion Jaccard >= 0.8; as model embeddings and pixels are
-    not at hand, SSIM pairs can be given with `with_ssim`.
+
+def hamming_classes(hashes: DataFrame, id_col: str, hash_col: str, most: int, length: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id) of all rows with a hash of `length` characters, and (a, b, distance) with a < b of the classes that differ in at most `most`.
+
+    Equal hashes are one class, named by its smallest id, so copies cost nothing. Keys of different hashes may still be shared by most
+    of them; `bucket_pairs` deals such keys out.
     """
-    close = hamming_pairs(images, "id", "phash", config.phash_distance, config.phash_length).select("a", "b", F.lit(1).alias("hash"))
-    same = jaccard_pairs(images, "id", "tokens", config.jaccard_min).select("a", "b", F.lit(1).alias("words"))
-    joined = close.join(same, ["a", "b"], "full_outer")
-    return joined.select("a", "b", (F.coalesce("hash", F.lit(0)) + F.coalesce("words", F.lit(0))).alias("criteria")).filter(F.col("criteria") >= config.criteria_min)
+    held = hashes.filter(F.length(hash_col) == length).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    classes = stored(held.groupBy("h").agg(F.min("id").alias("class_id")), "hash-classes")
+    members = held.join(classes, "h").select("id", "class_id")
+    parts = hamming_parts(classes.count(), length, most)
+    keyed = classes.select(F.col("class_id").alias("id"), "h", nibbles(F.col("h")).alias("x"), F.explode(F.array(*hamming_keys("h", length, most, parts))).alias("band"))
+    distance = differing("h_a", "h_b", "x_a", "x_b")
+    links = bucket_pairs(keyed, "band", "id", distance <= most).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance.cast("int").alias("distance"))
+    return members, links.distinct()
 
 
-def with_ssim(pairs: DataFrame, ssim: DataFrame, config: Config = Config()) -> DataFrame:
-    """Adds the SSIM criterion of a table (a, b, ssim) to pairs (a, b, criteria)."""
-    joined = pairs.join(ssim.filter(F.col("ssim") >= config.ssim_min).select("a", "b", F.lit(1).alias("s")), ["a", "b"], "full_outer")
-    return joined.select("a", "b", (F.coalesce("criteria", F.lit(0)) + F.coalesce("s", F.lit(0))).alias("criteria"))
+def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int, length: int = 16) -> DataFrame:
+    """(a, b, distance) with a < b of all rows whose hashes of `length` characters differ in at most `most`: the links of classes, spread over their members."""
+    members, links = hamming_classes(hashes, id_col, hash_col, most, length)
+    held = stored(members, "hash-members")
+    rows = lambda x: held.select(F.col("class_id").alias(x), F.col("id").alias(f"i{x}"))
+    across = links.join(rows("a"), "a").join(rows("b"), "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
+    within = rows("a").join(rows("b"), F.col("a") == F.col("b")).filter("ia < ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.lit(0).alias("distance"))
+    return across.unionByName(within)
+
+
+def hamming_links(hashes: DataFrame, id_col: str, hash_col: str, most: int, length: int = 16) -> DataFrame:
+    """id, class_id and links (how many other rows are within `most`) of every row with a hash; no pair of rows is formed."""
+    members, links = hamming_classes(hashes, id_col, hash_col, most, length)
+    held = stored(members, "hash-members")
+    sizes = held.groupBy("class_id").agg(F.count("*").alias("n"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
+    counted = stored(sizes.join(near, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "class-links")
+    return joined_apart(held, counted, "class_id").select("id", "class_id", "links")
+
+
+def image_duplicates(images: DataFrame, config: Config = Config(), ssim: DataFrame | None = None) -> DataFrame:
+    """(a, b, criteria) with a < b of the pairs of images that meet at least `criteria_min` of three criteria.
+
+    images: id, phash, tokens and, where pixels are at hand, grey (side x side bytes, side being `config.ssim_side`). The criteria are
+    1 - differing / 16 >= 1 - 6 / 16 of the hashes, Jaccard >= 0.8 of the words, and structural similarity >= 0.92: of the pixels, or
+    of the pairs (a, b, ssim) given. As two criteria are needed, a pair meets one of the first two, and only such pairs are compared
+    by pixels; of those the tiles' bound rules out more before any pixels are sent. All three are counted before the filter.
+    """
+    close = hamming_pairs(images.filter("phash IS NOT NULL"), "id", "phash", config.phash_distance, config.phash_length).select("a", "b", F.lit(1).alias("hash"))
+    same = jaccard_pairs(images, "id", "tokens", config.jaccard_min).select("a", "b", F.lit(1).alias("words"))
+    met = close.join(same, ["a", "b"], "full_outer").select("a", "b", (F.coalesce("hash", F.lit(0)) + F.coalesce("words", F.lit(0))).alias("first"))
+    if ssim is None and "grey" in images.columns:
+        met = stored(met, "alike-images")
+        ssim = similar_pictures(met.filter(F.col("first") >= config.criteria_min - 1).select("a", "b"), images, config)
+    if ssim is not None:
+        alike = ssim.filter(F.col("ssim") >= config.ssim_min).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("pixels")).distinct()
+        # pairs given by their similarity alone meet one criterion, which counts as any other
+        met = met.join(alike, ["a", "b"], "full_outer").select("a", "b", (F.coalesce("first", F.lit(0)) + F.coalesce("pixels", F.lit(0))).alias("first"))
+    return met.select("a", "b", F.col("first").alias("criteria")).filter(F.col("criteria") >= config.criteria_min)
+
+
+def similar_pictures(pairs: DataFrame, images: DataFrame, config: Config = Config()) -> DataFrame:
+    """(a, b, ssim) of the pairs at or above `ssim_min`, verified by pixels; images: id and grey (side x side bytes)."""
+    side = config.ssim_side
+    held = stored(images.select("id", "grey"), "grey-pictures")
+    index = stored(held.select("id", pictures.tiles("grey", F.lit(side)).alias("tiles")), "picture-tiles")
+    named = lambda table, column, x: table.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}"))
+    indexed = pairs.join(named(index, "tiles", "a"), "a").join(named(index, "tiles", "b"), "b")
+    likely = stored(indexed.filter(pictures.ssim_bound(F.col("tiles_a"), F.col("tiles_b"), side) >= config.ssim_min).select("a", "b"), "likely-pictures")
+    shown = likely.join(named(held, "grey", "a"), "a").join(named(held, "grey", "b"), "b")
+    return shown.select("a", "b", pictures.ssim("grey_a", "grey_b", F.lit(side)).alias("ssim")).filter(F.col("ssim") >= config.ssim_min)
+
+
+def image_groups(images: DataFrame, config: Config = Config()) -> DataFrame:
+    """id, class_id, group_id and links of every image: its equals' smallest id, its component's, and how many images it is a duplicate of.
+
+    Images equal in hash, words and pixels are one class whose first member alone meets others, so n copies give n rows.
+    """
+    words = F.array_join(F.array_sort(F.array_distinct("tokens")), "\u0001")
+    grey = F.coalesce(F.sha2("grey", 256), F.lit("")) if "grey" in images.columns else F.lit("")
+    keyed = images.withColumn("k", F.sha2(F.concat_ws("\u0002", F.coalesce("phash", F.lit("\u0003")), F.coalesce(words, F.lit("\u0003")), grey), 256))
+    heads = keyed.groupBy("k").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    members = stored(keyed.select("id", "k").join(heads, "k").select("id", "class_id", "n"), "image-classes")
+    firsts = stored(images.join(members.filter("id = class_id").select("id"), "id"), "first-images")
+    # equals meet the hash criterion if they have a hash, that of words if they have any, and that of pixels if there are some
+    own = F.col("phash").isNotNull().cast("int") + (F.coalesce(F.size("tokens"), F.lit(0)) > 0).cast("int") + (F.col("grey").isNotNull().cast("int") if "grey" in images.columns else F.lit(0))
+    alike = firsts.select(F.col("id").alias("class_id"), (own >= config.criteria_min).alias("alike"))
+    links = stored(image_duplicates(firsts, config).select("a", "b"), "image-links")
+    sizes = stored(members.groupBy("class_id").agg(F.count("*").alias("n")), "class-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
+    roots = connected_components(links).select(F.col("node").alias("class_id"), "root")
+    table = stored(alike.join(near, "class_id", "left").join(roots, "class_id", "left"), "class-links")
+    met = joined_apart(members, table, "class_id")
+    linked = F.col("alike") | F.col("near").isNotNull()
+    return met.select("id", "class_id", F.when(linked, F.coalesce("root", "class_id")).otherwise(F.col("id")).alias("group_id"), (F.when(F.col("alike"), F.col("n") - 1).otherwise(0) + F.coalesce("near", F.lit(0))).alias("links"))
 
 
 def canonical_rows(items: DataFrame, id_col: str, roots: DataFrame, order: list[Column], as_written: bool = False) -> DataFrame:

@@ -160,12 +160,6 @@ def hamming_pairs(spark, sf_dir):
     return S.hamming_pairs(_hashes(spark, sf_dir), "id", "phash", 3)
 
 
-@query(f"""WITH h AS (SELECT conv_id * 100 + turn AS id, {HASH} AS h, list_distinct(list_filter({WORDS.format(CLEAN)}, lambda t: length(t) > 1)) AS t FROM conversations)
-SELECT a.id AS a, b.id AS b, 2 AS criteria FROM h a JOIN h b ON a.id < b.id AND hamming(a.h, b.h) <= 6 AND len(a.t) > 0 AND len(b.t) > 0 AND {JACCARD} >= 0.8""", products=False)
-def image_duplicates(spark, sf_dir):
-    return S.image_duplicates(_hashes(spark, sf_dir))
-
-
 COMPONENTS = f"""WITH RECURSIVE {SET_SQL}, e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0 AND {JACCARD} >= 0.8), r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)"""
 
 

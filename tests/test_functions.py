@@ -142,24 +142,3 @@ def test_model(spark):
     rows = spark.createDataFrame([(0.5, "yes", [1.0]), (1.5, "maybe", [1.0, 2.0]), (None, None, None)], "c double, p string, b array<double>")
     good, bad = model.quarantine(rows, model.problems(rows, {"c": (0, 1)}, {"p": model.ALLOWED["private_label"]}, {"b": 1}))
     assert good.count() == 2 and bad.first().problems == ["c", "p", "b"]
-
-
-def test_image_measures(spark):
-    import numpy as np
-
-    from aisleforge.functions import images
-
-    rng = np.random.default_rng(1)
-    photo = np.clip(rng.normal(128, 40, (64, 48)).cumsum(axis=1) % 256, 0, 255).astype(np.uint8)
-    flat, brighter = np.full((64, 48), 90, np.uint8), np.minimum(photo.astype(int) + 2, 255).astype(np.uint8)
-    rows = [(k, bytearray(x.tobytes()), 48, 64) for k, x in enumerate((photo, brighter, flat))] + [(3, None, None, None)]
-    df = spark.createDataFrame(rows, "k int, pixels binary, w int, h int")
-    found = df.select("k", images.phash("pixels", "w", "h").alias("p"), images.measures("pixels", "w", "h").alias("m")).orderBy("k").collect()
-    differ = sum(a != b for a, b in zip(found[0].p, found[1].p, strict=True))
-    assert len(found[0].p) == 16 and differ <= 4 and found[3].p is None
-    assert found[2].m.sharpness == 0 and found[2].m.brightness == 90 and found[0].m.sharpness > 0
-    pair = df.filter("k = 0").crossJoin(df.select(F.col("k").alias("k2"), F.col("pixels").alias("q"), F.col("w").alias("v"), F.col("h").alias("g")).filter("k2 < 3"))
-    similar = {r.k2: r.s for r in pair.select("k2", images.ssim("pixels", "w", "h", "q", "v", "g").alias("s")).collect()}
-    assert similar[0] == pytest.approx(1) and similar[1] > 0.9 and similar[2] < 0.5
-    tall = spark.range(1).select(images.segments(F.lit(100), F.lit(301)).alias("s"), images.segments(F.lit(300), F.lit(100)).alias("w")).first()
-    assert [(s.part, s.y, s.height) for s in tall.s] == [(0, 0, 100), (1, 100, 100), (2, 200, 101)] and [(s.part, s.y, s.height) for s in tall.w] == [(0, 0, 100)]

@@ -82,15 +82,6 @@ def test_image_clusters_drop_lone_images(spark):
     assert {r.node: r.root for r in S.image_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
-def test_image_duplicates_need_two_criteria(spark):
-    rows = [(1, "0" * 16, ["a", "b"]), (2, "0" * 15 + "1", ["a", "b"]), (3, "0" * 16, ["x"]), (4, "f" * 16, ["a", "b"])]
-    df = spark.createDataFrame(rows, "id long, phash string, tokens array<string>")
-    assert [(r.a, r.b) for r in S.image_duplicates(df).collect()] == [(1, 2)]
-    ssim = spark.createDataFrame([(1, 3, 0.95), (1, 4, 0.5)], "a long, b long, ssim double")
-    more = {(r.a, r.b): r.criteria for r in S.with_ssim(S.image_duplicates(df), ssim).collect()}
-    assert more == {(1, 2): 2, (1, 3): 1}
-
-
 def test_tiers(spark):
     df = spark.createDataFrame([("a", y) for y in (0.1, 0.15, 0.5, 0.8, 0.85)] + [("b", 0.1), ("b", 0.9)], "g string, y double")
     found = sorted((r.g, r.y, r.tier) for r in S.tiers(df, ["g"], "y").collect())

@@ -77,15 +77,6 @@ def test_embeddings_are_those_of_whole_texts(spark, tmp_path, name, near):
     assert {r.node: r.root for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
 
 
-def test_image_duplicates_compare_texts(spark, tmp_path):
-    """Two turns of one hash class with equal texts are duplicates; with other texts, or in another class, they are not."""
-    same, other = " ".join(WORDS[:12]), " ".join(WORDS[20:32])
-    rows = [(1, 1, "user", same), (41, 1, "user", same), (81, 1, "user", other), (2, 1, "user", same), (121, 1, "assistant", same + " more")]
-    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    found = {(r.a, r.b, r.criteria) for r in QUERIES["image_duplicates"](spark, str(tmp_path)).collect()}
-    assert found == {(101, 4101, 2), (101, 12101, 2), (4101, 12101, 2)}
-
-
 @pytest.mark.parametrize("name", sorted(portfolio.EDGES))
 def test_buckets_hold_every_line(spark, monkeypatch, name):
     """Keys of 1 to 25 rows, on line numbers other than 7 too."""
