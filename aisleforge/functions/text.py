@@ -63,31 +63,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def best_ratios(first: list[str], second: list[str]):
-    """A UDF: the best difflib ratio of a text with either list, 0 for an empty list."""
-
-    @F.pandas_udf(T.StructType([T.StructField("first", T.DoubleType()), T.StructField("second", T.DoubleType())]))
-    def best(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([[max((SequenceMatcher(None, n, o).ratio() for o in others), default=0.0) for others in (first, second)] for n in names], columns=["first", "second"])
-
-    return best
-
-
-def best_pattern(patterns: list[tuple[str, str]], least: float):
-    """A UDF: ratio and brand of the closest (pattern, brand) at or above `least`, ties to the earlier; nulls without one."""
-
-    @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("brand", T.StringType())]))
-    def best(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            rated = [(SequenceMatcher(None, t, p).ratio(), -k, b) for k, (p, b) in enumerate(patterns)]
-            ratio, _, brand = max(rated, default=(0.0, 0, None))
-            rows.append((ratio, brand) if ratio >= least else (None, None))
-        return pd.DataFrame(rows, columns=["ratio", "brand"])
-
-    return best
-
-
 def thai_digits(c: Column) -> Column:
     return F.translate(c, THAI_DIGITS, DIGITS)
 

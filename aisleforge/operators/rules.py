@@ -13,6 +13,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import similar_names
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -143,10 +145,9 @@ def store_zone(placement: Column, signage: Column) -> Column:
 def origin_cascade(df: DataFrame, brands: DataFrame, brand: str = "brand", hints: str | None = None, fuzzy: float = 0.8) -> DataFrame:
     """Adds origin, origin_confidence and origin_method: exact list, script, fuzzy list, keyword hints, unknown.
 
-    Works on distinct brands; only those still open after the cheap stages meet the list (brand, origin; at most MOST_LISTED)
-    for difflib's ratio, as a UDF inside CASE would run for all rows.
+    Works on distinct brands; only those still open after the cheap stages meet the list (brand, origin), by `similar_names`, however
+    long it is. Of a name's best ratios with local and other brands the higher one counts, of equal ones the other brands'.
     """
-    from ..functions import text
     from ..functions.text import THAI_RUN
 
     names = df.select(F.lower(F.trim(F.col(brand))).alias("name")).filter("name IS NOT NULL AND name NOT IN ('', 'unknown')").distinct()
@@ -156,13 +157,11 @@ def origin_cascade(df: DataFrame, brands: DataFrame, brand: str = "brand", hints
     exact = first.filter("listed IS NOT NULL").select("name", F.col("listed").alias("o"), F.lit(1.0).alias("c"), F.lit("exact_match").alias("m"))
     rest = first.filter("listed IS NULL")
     script = rest.filter(share > 0).select("name", F.lit("local").alias("o"), F.least(share * 1.5, F.lit(1.0)).alias("c"), F.lit("thai_script").alias("m"))
-    known = [(r["name"], r["listed"] == "local") for r in listed.orderBy("name").limit(MOST_LISTED + 1).collect()]
-    if len(known) > MOST_LISTED:
-        raise ValueError(f"more than {MOST_LISTED} listed brands; fuzzy matching is meant for a list written by people")
-    ratios = text.best_ratios([n for n, local in known if local], [n for n, local in known if not local])
-    rated = rest.filter(share == 0).select("name", ratios("name").alias("x")).select("name", F.col("x.first").alias("l"), F.col("x.second").alias("i"))
+    open_names = rest.filter(share == 0).select("name")
+    alike = similar_names(open_names, listed.select("name"), fuzzy).join(listed.select(F.col("name").alias("y"), "listed"), "y")
+    rated = alike.groupBy(F.col("x").alias("name")).agg(*[F.coalesce(F.max(F.when((F.col("listed") == "local") == local, F.col("ratio"))), F.lit(0.0)).alias(c) for c, local in (("l", True), ("i", False))])
     near, far = F.col("l"), F.col("i")
-    close = rated.select("name", F.when((near >= fuzzy) & (near > far), "local").when(far >= fuzzy, "international").alias("o"), F.when((near >= fuzzy) & (near > far), near).otherwise(far).alias("c"), F.lit("fuzzy_match").alias("m")).filter("o IS NOT NULL")
+    close = rated.select("name", F.when(near > far, "local").otherwise("international").alias("o"), F.greatest(near, far).alias("c"), F.lit("fuzzy_match").alias("m"))
     found = exact.unionByName(script).unionByName(close)
     joined = df.withColumn("__name", F.lower(F.trim(F.col(brand)))).join(found.withColumnRenamed("name", "__name"), "__name", "left")
     missing = F.col("__name").isNull() | F.col("__name").isin("", "unknown")
@@ -178,9 +177,6 @@ def origin_cascade(df: DataFrame, brands: DataFrame, brand: str = "brand", hints
     }).drop("__name", "o", "c", "m")
 
 
-#: Brand lists are written by people; a longer one is an error, not a broadcast.
-MOST_LISTED = 20_000
-
 # fixed values: words that hint at an origin
 LOCAL_HINTS = ("thailand", "thai", "bangkok", "siam", "local", "domestic")
 FOREIGN_HINTS = ("imported", "europe", "america", "usa", "global", "international")
@@ -192,8 +188,6 @@ def private_cascade(df: DataFrame, key: str, sources: dict[str, Column], pattern
     sources: arrays of texts by name, in the order in which they are tried; patterns: (pattern, brand) in order. In each text
     an exact pattern (1.0) comes before one of six or more characters that makes up 70 % of a word (0.8), and that before a close one.
     """
-    from ..functions.text import best_pattern
-
     def labelled(name: str, c: Column) -> Column:
         return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(F.lit(name).alias("source"), F.lower(F.trim(t)).alias("text")))
 
@@ -211,8 +205,10 @@ def private_cascade(df: DataFrame, key: str, sources: dict[str, Column], pattern
     sure = exploded.withColumn("exact", exact).withColumn("inside", inside)
     known = sure.select(key, "pos", "source", "text", F.coalesce(F.when(F.col("exact").isNotNull(), F.struct(F.lit(1.0).alias("c"), F.lit("exact_match").alias("m"), F.col("exact.name").alias("b"))), F.when(F.col("inside").isNotNull(), F.struct(F.lit(0.8).alias("c"), F.lit("word_boundary_match").alias("m"), F.col("inside.name").alias("b")))).alias("hit"))
     open_texts = known.filter("hit IS NULL").select("text").distinct()
-    best = best_pattern([(p, b) for p, b in patterns if len(p) >= 3], fuzzy)
-    close = open_texts.select("text", best("text").alias("x")).filter("x IS NOT NULL AND x.brand IS NOT NULL")
+    tried = [(p, k, b) for k, (p, b) in enumerate(patterns) if len(p) >= 3]
+    listed = df.sparkSession.createDataFrame(tried, "pattern string, k int, brand string")
+    alike = similar_names(open_texts, listed.select("pattern"), fuzzy).join(listed, F.col("y") == F.col("pattern"))
+    close = alike.groupBy(F.col("x").alias("text")).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "k", "ratio", "brand")).alias("x"))
     all_hits = known.join(close, "text", "left").withColumn("hit", F.coalesce("hit", F.when(F.col("x").isNotNull(), F.struct(F.col("x.ratio").alias("c"), F.lit("fuzzy_match").alias("m"), F.col("x.brand").alias("b"))))).filter("hit IS NOT NULL")
     return all_hits.groupBy(key).agg(F.min_by(F.struct("hit", "source"), "pos").alias("x")).select(key, F.col("x.hit.b").alias("private_brand"), F.col("x.hit.c").alias("confidence"), F.col("x.hit.m").alias("method"), F.col("x.source").alias("source"))
 

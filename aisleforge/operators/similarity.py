@@ -22,7 +22,9 @@ from ..functions import images as pictures
 from ..functions import scores, text
 from .buckets import bucket_pairs
 from .components import connected_components
+from .names import greedy_leaders, similar_names
 from .scratch import joined_apart, stored
+from .vectors import cosine_join
 
 
 def prefixes(sets: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
@@ -233,17 +235,30 @@ def duplicate_products(products: DataFrame, config: Config = Config()) -> DataFr
     """(node, root) of products (id, brand, type, image, confidence, tokens, embedding) linked by 1 - similarity <= eps.
 
     No pair can reach 1 - eps without the same brand and type, nor on one image, nor with a Jaccard under
-    (1 - eps - 0.7) / 0.3, as the cosine and the confidence are at most 1; the last bound finds the candidates.
+    (1 - eps - 0.7) / 0.3, as the cosine and the confidence are at most 1; brand and type are the key and the last bound finds the candidates.
+
+    Products equal in all but their image are one unit where they are linked by themselves, else one for each image; a unit's smallest
+    id alone meets others. So n copies cost n rows. Members hang on their unit if it is linked, or holds two images.
     """
-    worded = jaccard_pairs(products, "id", "tokens", (1 - config.product_eps - 0.7) / 0.3)
-    held = products.select("id", F.lower("brand").alias("brand"), F.lower("type").alias("type"), "image", "confidence", "embedding")
-    pairs = worded
+    kind = (F.lower("brand").alias("brand"), F.lower("type").alias("type"))
+    held = products.select("id", *kind, "image", "confidence", F.array_sort(F.array_distinct("tokens")).alias("tokens"), "embedding").filter("brand IS NOT NULL AND type IS NOT NULL AND image IS NOT NULL AND size(tokens) > 0")
+    same = scores.product_similarity(scores.cosine(F.col("embedding"), F.col("embedding")), F.lit(1.0), F.lit(True), F.lit(False), F.col("confidence"), F.col("confidence"))
+    kept = held.withColumn("own", F.coalesce(1 - same <= config.product_eps, F.lit(False)))
+    look = F.concat_ws("\u0002", "brand", "type", F.col("confidence").cast("string"), F.array_join("tokens", "\u0001"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), F.when(F.col("own"), "").otherwise(F.col("image").cast("string")))
+    # read three times, so written once instead of being computed from texts each time
+    keyed = stored(kept.withColumn("k", F.sha2(look, 256)), "products")
+    heads = stored(keyed.groupBy("k").agg(F.min("id").alias("unit"), F.min("image").alias("least"), F.max("image").alias("most")), "product-units")
+    members = stored(keyed.select("id", "k", "own").join(heads, "k").select("id", "unit", (F.col("own") & (F.col("least") < F.col("most"))).alias("linked")), "product-members")
+    firsts = stored(keyed.join(heads.select(F.col("unit").alias("id"), "least", "most"), "id").drop("image", "own", "k"), "unit-products")
+    pairs = jaccard_pairs(firsts, "id", "tokens", (1 - config.product_eps - 0.7) / 0.3, by=("brand", "type"))
     for s in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in held.columns[1:]]), s)
-    pairs = pairs.filter("brand_a = brand_b AND type_a = type_b AND image_a <> image_b")
+        pairs = pairs.join(firsts.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("least", "most", "confidence", "embedding")]), s)
+    one_image = (F.col("least_a") == F.col("most_a")) & (F.col("least_b") == F.col("most_b")) & (F.col("least_a") == F.col("least_b"))
     similarity = scores.product_similarity(scores.cosine(F.col("embedding_a"), F.col("embedding_b")), F.col("jaccard"), F.lit(True), F.lit(False), F.col("confidence_a"), F.col("confidence_b"))
-    linked = pairs.select("a", "b", similarity.alias("similarity")).filter(1 - F.col("similarity") <= config.product_eps)
-    return connected_components(linked)
+    links = stored(pairs.filter(~one_image & (1 - similarity <= config.product_eps)).select("a", "b"), "product-links")
+    joined = links.select(F.col("a").alias("unit")).unionByName(links.select(F.col("b").alias("unit"))).distinct().withColumn("met", F.lit(True))
+    hanging = members.join(joined, "unit", "left").filter("(linked OR met) AND id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b"))
+    return connected_components(links.unionByName(hanging))
 
 
 def canonical_products(products: DataFrame, config: Config = Config()) -> DataFrame:
@@ -281,8 +296,8 @@ def image_clusters(images: DataFrame, config: Config = Config()) -> DataFrame:
     firsts = stored(keyed.groupBy("k").agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"), F.min_by("v", "id").alias("v")), "images")
     copies = keyed.join(firsts.select("k", F.col("id").alias("a")), "k").filter((F.col("a") != F.col("id")) & close(scores.cosine(F.col("v"), F.col("v")), 1.0)).select("a", F.col("id").alias("b"))
     worded = jaccard_pairs(firsts.filter(F.size("tokens") > 0), "id", "tokens", least)
-    empty = firsts.filter(F.size("tokens") == 0)
-    bare = empty.select(F.col("id").alias("a"), F.lit(0).alias("k")).join(empty.select(F.col("id").alias("b"), F.lit(0).alias("k")), "k").filter("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    # two empty sets count as equal, so those are near enough from a cosine on; listed by caps of blocks
+    bare = cosine_join(firsts.filter(F.size("tokens") == 0), "id", "v", (1 - config.image_eps - 0.4) / 0.6 - 1e-9).select("a", "b", F.lit(1.0).alias("jaccard"))
     pairs = worded.unionByName(bare).join(firsts.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(firsts.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     linked = pairs.filter(close(scores.cosine(F.col("va"), F.col("vb")), F.col("jaccard"))).select("a", "b")
     return connected_components(linked.unionByName(copies))
@@ -299,26 +314,22 @@ def tiers(points: DataFrame, group: list[str], y: str, eps: float = 0.1, most: i
 
 
 def leader_clusters(brands: DataFrame, ratio: float = 0.85) -> DataFrame:
-    """(brand, leader): greedy merging of brand names, most frequent first; the longest name of a cluster represents it.
+    """(brand, leader): greedy merging of brand names, most frequent first; the longest name of a cluster represents it, of several the first in the order.
 
-    The result depends on the order by definition, so names are taken in one order (count descending, name) in a single group. That
-    group holds distinct brand names, a dimension, not products.
+    The result depends on the order by definition (count descending, then name): a name joins the first cluster whose first name is
+    alike enough, in lower case. Alike names come from `similar_names`, and `greedy_leaders` settles them in rounds.
     """
-    import pandas as pd
-
-    def merge(names: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
-        clusters: list[list[str]] = []
-        for name in names.sort_values(["n", "brand"], ascending=[False, True])["brand"]:
-            low = name.lower().strip()
-            home = next((c for c in clusters if SequenceMatcher(None, low, c[0].lower().strip()).ratio() >= ratio), None)
-            clusters.append([name]) if home is None else home.append(name)
-        rows = [(b, sorted(c, key=lambda x: (-len(x), x))[0]) for c in clusters for b in c]
-        return pd.DataFrame(rows, columns=["brand", "leader"])
-
     counted = brands.filter("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("n"))
-    return counted.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, "brand string, leader string")
+    # places in the order as text: numbers of one length, then the name
+    named = stored(counted.select("brand", F.lower("brand").alias("low"), F.concat(F.lpad((F.lit(2**62) - F.col("n")).cast("string"), 19, "0"), "brand").alias("node")), "brand-names")
+    lows = named.select("low").distinct()
+    alike = similar_names(lows, lows, ratio)
+    side = lambda low, node: named.select(F.col("low").alias(low), F.col("node").alias(node))
+    # the ratio is that of the earlier name with the later one, and of equal ones 1; the empty name stays alone
+    edges = alike.join(side("x", "a"), "x").join(side("y", "b"), "y").filter("a < b").select("a", "b")
+    led = greedy_leaders(named, edges).join(named.select("node", "brand"), "node")
+    chosen = led.groupBy("leader").agg(F.min(F.struct((-F.length("brand")).alias("l"), "node", "brand")).alias("x"))
+    return led.join(chosen, "leader").select("brand", F.col("x.brand").alias("leader"))
 
 
 def best_object(products: DataFrame, objects: DataFrame, key: str = "image_id") -> DataFrame:

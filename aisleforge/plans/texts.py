@@ -8,6 +8,7 @@ from ..config import Config
 from ..functions import parsing, scores, text
 from ..operators import measures as M
 from ..operators import similarity as S
+from ..operators import vectors as V
 from ..operators.components import connected_components
 from ..sources.tables import products, table
 from .registry import query
@@ -147,6 +148,12 @@ def cosine_pairs(spark, sf_dir):
     return S.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.3).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3", products=False)
+def cosine_matrix(spark, sf_dir):
+    """The similarity matrix of all vectors, as far as it reaches 0.3."""
+    return V.cosine_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
 HASH = "substring(md5(CAST(conv_id % 40 AS VARCHAR)), 1, 12) || substring(md5(CAST(conv_id AS VARCHAR) || '/' || turn), 1, 4)"
 
 

@@ -88,11 +88,6 @@ def test_tiers(spark):
     assert found == [("a", 0.1, 1), ("a", 0.15, 1), ("a", 0.5, 1), ("a", 0.8, 2), ("a", 0.85, 2), ("b", 0.1, 1), ("b", 0.9, 1)]
 
 
-def test_leader_clusters(spark):
-    df = spark.createDataFrame([(b,) for b in ["Nova", "Nova", "Novaa", "Zed", None]], "brand string")
-    assert {r.brand: r.leader for r in S.leader_clusters(df).collect()} == {"Nova": "Novaa", "Novaa": "Novaa", "Zed": "Zed"}
-
-
 def test_hhi_bounds_and_nulls(spark):
     df = spark.createDataFrame([("s", b) for b in ["a", "a", "b", None]], "store string, brand string")
     assert M.hhi(df, "brand", ["store"]).first().hhi == 0.3125
