@@ -2,8 +2,8 @@
 
 The ratio is twice the matched characters over all characters, and a match takes a character of either name once, so
 it is at most that of the multisets of characters.  Those are sets of (character, how many of it so far) and go
-through a prefix filter: two that are alike enough share one of the rarest characters of each.  Only what passes
-both bounds is matched, on distinct pairs.
+through a prefix filter: two that are alike enough share one of the rarest characters of each.  Edit distance is a further
+bound.  Only what passes all is matched, on distinct pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .scratch import forget, stored
 
+#: Pairs that one task matches.
+DEAL = 8192
+
 
 def letters(name: Column) -> Column:
     """The characters of a name, each with its running number: distinct, and as many as the name has."""
@@ -41,9 +44,14 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     met = side(sides[0], "x").join(side(sides[1], "y"), "c").filter(fits).select("x", "y").distinct()
     shared = F.size(F.array_intersect("tx", "ty"))
     both = met.join(held.select(F.col("name").alias("x"), F.col("t").alias("tx")), "x").join(held.select(F.col("name").alias("y"), F.col("t").alias("ty")), "y")
-    likely = both.filter(2 * shared >= (F.size("tx") + F.size("ty")) * F.lit(least) - 1e-9).select("x", "y")
-    found = stored(likely.withColumn("ratio", text.sequence_ratio("x", "y")).filter(F.col("ratio") >= least), "similar-names")
-    forget(held, keys)
+    total = F.size("tx") + F.size("ty")
+    close = both.filter(2 * shared >= total * F.lit(least) - 1e-9)
+    # matched characters are a common subsequence, so all others are inserted or deleted: at least as many as there are edits
+    likely = stored(close.filter(F.levenshtein("x", "y") <= total * F.lit(1 - least) + 1e-9).select("x", "y"), "likely-names")
+    # few bytes, much work: dealt by rows
+    dealt = likely.repartition(max(1, -(-likely.count() // DEAL)))
+    found = stored(dealt.withColumn("ratio", text.sequence_ratio("x", "y")).filter(F.col("ratio") >= least), "similar-names")
+    forget(held, keys, likely)
     return found
 
 
