@@ -36,16 +36,22 @@ def _at(spark: SparkSession, path: str) -> tuple:
     return held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), held
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    system, held = _at(spark, path)
+    system.deleteOnExit(held)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage and survives lost executors.
 
     The table goes when it is forgotten, else when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    system, held = _at(spark, path)
-    system.deleteOnExit(held)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table

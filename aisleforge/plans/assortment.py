@@ -10,9 +10,11 @@ from ..functions import scores
 from ..operators import measures as M
 from ..operators import relations as J
 from ..operators import rules as R
+from ..operators.scratch import fresh_folder
 from ..sources.providers import FixedProvider, ask
 from ..sources.tables import products, table
 from ..streaming.resume import event_windows, progress, remaining
+from ..streaming.state import progress_stream, run_to_end
 from . import tables as T
 from .registry import query
 
@@ -156,6 +158,17 @@ def running_eta(spark, sf_dir):
     return progress(table(spark, sf_dir, "events"), "event_id", "value", 100, ["user_id"]).select("user_id", "event_id", "eta_s")
 
 
+@query(PROGRESS + " SELECT user_id, event_id, done, mean_all, mean_last5, round(mean_all * greatest(100 - done, 0), 4) AS eta_s, CASE WHEN mean_last5 > mean_all * 1.1 THEN 'slower' WHEN mean_last5 < mean_all * 0.9 THEN 'faster' ELSE 'stable' END AS trend FROM e", products=False)
+def progress_state(spark, sf_dir):
+    """Mean, remaining time and trend from streaming state: the events run as a stream to their end, and what it wrote is read."""
+    events = table(spark, sf_dir, "events")
+    # the pattern is for a table that is one file, which a stream takes for a folder otherwise
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    folder = fresh_folder(spark, "progress")
+    run_to_end(progress_stream(stream, "user_id", "event_id", "value", 100), f"{folder}/rows", f"{folder}/log")
+    return spark.read.parquet(f"{folder}/rows")
+
+
 @query("SELECT user_id, count(*) AS items, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS mean_s, min(value) AS min_s, max(value) AS max_s FROM events GROUP BY user_id", products=False)
 def image_timing(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("items"), M.mean("value").alias("mean_s"), F.min("value").alias("min_s"), F.max("value").alias("max_s"))
