@@ -70,6 +70,18 @@ def hash_embedding(text: Column, dims: int = 128) -> Column:
     return F.transform(padded, lambda v: unit(v))[0]
 
 
+# fixed values: frequent words that say nothing of a product
+COMMON = ("the", "and", "for", "new", "fresh")
+
+
+def feature_text(brand: Column, kind: Column, category: Column | None, tokens: Column, most: int = 5) -> Column:
+    """The text that a product's embedding is made of, in lower case: brand unless unknown, type, category name and the first telling tokens."""
+    named = F.trim(F.coalesce(brand, F.lit("")))
+    known = F.when((named != "") & (F.lower(named) != "unknown"), named)
+    telling = F.slice(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(*COMMON)), 1, most)
+    return F.lower(F.concat_ws(" ", known, F.nullif(F.trim(kind), F.lit("")), *([] if category is None else [category]), telling))
+
+
 def product_similarity(cos: Column, jac: Column, same_kind: Column, same_image: Column, conf_a: Column, conf_b: Column) -> Column:
     """(0.4 cosine + 0.3 Jaccard + 0.3 same brand and type - 0.2 same image) times the mean confidence, within 0..1."""
     mixed = cos * 0.4 + jac * 0.3 + F.when(same_kind, 0.3).otherwise(0.0) - F.when(same_image, 0.2).otherwise(0.0)

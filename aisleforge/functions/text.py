@@ -188,3 +188,13 @@ def file_name(c: Column) -> Column:
 def sku_id(*parts: Column) -> Column:
     """Twelve hex characters of the MD5 of the lower-cased parts joined by bars; null counts as empty."""
     return F.substring(F.md5(F.lower(F.concat_ws("|", *[or_empty(p) for p in parts]))), 1, 12)
+
+
+def stamp(c: Column) -> Column:
+    """A time as reports show it."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def file_stamp(c: Column) -> Column:
+    """A time as file names carry it, which sorts as it does."""
+    return F.date_format(c, "yyyyMMdd_HHmmss")

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .names import greedy_leaders
 from .scratch import stored
+from .similarity import jaccard_pairs
 
 
 def tfidf(df: DataFrame, text_col: str, features: int = 1000, min_df: float = 2.0, bigrams: bool = True) -> tuple[DataFrame, list[str]]:
@@ -115,12 +117,16 @@ def cluster_names(clustered: DataFrame, vocabulary: list[str], terms: int = 2, b
     return best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "pos"))).alias("x")).select(*by, F.initcap(F.array_join(F.transform("x", lambda t: F.element_at(words, t["pos"] + 1)), " ")).alias("name"))
 
 
-def merged_names(named: DataFrame, order: Iterable[str] = ("cluster",)) -> DataFrame:
-    """The rows of named (name, n, ...) that are the largest of their name, of equal ones the first in `order`.
+def merged_names(named: DataFrame, order: Iterable[str] = ("cluster",), over: float = 0.8) -> DataFrame:
+    """The rows of named (name, n, ...) that are left when, largest first, each name goes whose word Jaccard with a kept one is over `over`.
 
-    Names with a word Jaccard over 0.8 count as one. Two terms of at most two words make names of up to four distinct words, where
-    that is to have the same words.
+    Of equal size the first in `order` comes first. Alike names come from the prefix filter, and who stays is settled in rounds.
     """
-    words = F.array_sort(F.array_distinct(F.split(F.lower("name"), " ")))
-    rank = F.row_number().over(Window.partitionBy("__w").orderBy(F.desc("n"), *order))
-    return named.withColumn("__w", words).withColumn("__rank", rank).filter("__rank = 1").drop("__w", "__rank")
+    order, kinds = list(order), dict(named.dtypes)
+    words = stored(named.withColumn("__w", F.array_sort(F.array_distinct(F.split(F.lower("name"), " ")))), "named-clusters")
+    # equal names fall together at once; places in the order as text
+    place = F.concat_ws("|", F.lpad((F.lit(2**62) - F.col("n")).cast("string"), 19, "0"), *[F.col(c) if kinds[c] == "string" else F.lpad(F.col(c).cast("string"), 20, "0") for c in order])
+    heads = stored(words.groupBy("__w").agg(F.min(place).alias("node")), "names")
+    pairs = jaccard_pairs(heads, "node", "__w", over).filter(F.col("jaccard") > over + 1e-12).select("a", "b")
+    kept = greedy_leaders(heads, pairs).filter("node = leader").select("node")
+    return words.withColumn("node", place).join(kept, "node").drop("node", "__w")

@@ -45,7 +45,10 @@ def json(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replaces the table that df itself reads: writes beside it, then swaps the folders by renaming."""
+    """Replaces the plain folder that df itself reads: writes beside it, then swaps the folders by renaming.
+
+    Between the two renames there is no table; `snapshots.replace` has no such moment and sees other writers.
+    """
     spark = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.format(form).option("header", True).save(fresh)
@@ -72,10 +75,16 @@ def duplicate_report(items: DataFrame, brand: Column, count: Column) -> DataFram
     return total.crossJoin(histogram).crossJoin(top).select(F.to_json(F.struct("canonical", "detections", "histogram", F.transform("top", lambda t: F.struct(t["brand"].alias("brand"), (-t["minus_n"]).alias("n"))).alias("top_brands"))).alias("report"))  # each side is one row
 
 
-def markdown(title: str, kpis: DataFrame, template: Callable[[dict], list[str]] | None = None) -> str:
-    """A report from a table of few rows: a heading and one bullet per value, or what the template makes of each row."""
+def markdown(title: str, kpis: DataFrame, template: Callable[[dict], list[str]] | None = None, most: int = 1000) -> str:
+    """A report from a table of few rows: a heading and one bullet per value, or what the template makes of each row.
+
+    It is one text made on the driver, so a table of more than `most` rows is an error: nothing is left out.
+    """
     lines = [f"# {title}", ""]
-    for row in kpis.limit(100).collect():
+    rows = kpis.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write a table instead")
+    for row in rows:
         held = row.asDict(recursive=True)
         lines += template(held) if template else [f"- **{k}**: {v}" for k, v in held.items()]
         lines.append("")

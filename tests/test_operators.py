@@ -181,6 +181,9 @@ def test_topics(spark):
     assert names.count() == 2
     same = spark.createDataFrame([(0, 3, "Tea Soap"), (1, 5, "soap tea"), (2, 5, "Tea soap"), (3, 1, "Soap")], "cluster int, n int, name string")
     assert {r.cluster for r in merged_names(same).collect()} == {1, 3}
+    # five of six words and nine of eleven are over 0.8; a name that went does not take others with it
+    long = [(4, 9, "a b c d e f g h i j"), (5, 8, "a b c d e f g h i k"), (6, 7, "a b c d e f g h k l"), (7, 3, "p q r s t u"), (8, 2, "p q r s t")]
+    assert {r.cluster for r in merged_names(spark.createDataFrame(long, same.schema)).collect()} == {4, 6, 7}
     assert isinstance(clustered.toPandas(), pd.DataFrame)
 
 
