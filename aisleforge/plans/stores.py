@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import scores, text
 from ..operators import rules as R
 from ..operators.scratch import fresh_folder
 from ..sinks import matrix, snapshots
+from ..sources import files
 from ..sources.tables import products, table
 from . import tables as T
 from .registry import query
@@ -37,6 +42,22 @@ def embedding_matrix(spark, sf_dir):
     return read.select("id", "row", F.col("vector")[0].cast("double").alias("first"), F.element_at("vector", -1).cast("double").alias("last"), same.alias("asked"))
 
 
+@query(
+    "SELECT 'Deduped Summary' AS sheet, category AS name, CAST(count(*) AS DOUBLE) AS n, CAST(sum(facings) AS DOUBLE) AS facings FROM products GROUP BY category UNION ALL SELECT 'KPIs', 'findings', CAST(count(*) AS DOUBLE), CAST(sum(facings) AS DOUBLE) FROM products UNION ALL SELECT 'All Findings', brand, CAST(count(*) AS DOUBLE), CAST(sum(facings) AS DOUBLE) FROM products GROUP BY brand"
+)
+def audit_workbook(spark, sf_dir):
+    """A workbook of findings, summary, figures and, as there are none, no sheet of issues; written, read back and added up."""
+    p = products(spark, sf_dir).select("crop_id", "brand", "category", "facings")
+    figures = [F.count("*").alias("n"), F.sum("facings").alias("facings")]
+    sheets = {"All Findings": p, "Deduped Summary": p.groupBy(F.col("category").alias("name")).agg(*figures), "KPIs": p.agg(*figures).withColumn("name", F.lit("findings")), "Issues": p.filter("facings < 0")}
+    path = f"{fresh_folder(spark, 'audit')}/book.xlsx"
+    sinks.excel(sheets, path, skip_empty=("Issues",))
+    found = files.workbook(spark, path)
+    summed = found["All Findings"].groupBy(F.col("brand").alias("name")).agg(F.count("*").cast("double").alias("n"), F.sum("facings").alias("facings"))
+    parts = {**{k: v.select("name", "n", "facings") for k, v in found.items() if k != "All Findings"}, "All Findings": summed}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("sheet"), "name", "n", "facings") for k, df in parts.items()])
+
+
 WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'new', 'fresh'))"
 
 

@@ -20,20 +20,11 @@ def workbook(sheets: dict[str, DataFrame], folder: str, form: str = "parquet", s
     return made
 
 
-def excel(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
-    """One Excel file; needs openpyxl, and every sheet within Excel's own limit of rows."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as missing:
-        raise RuntimeError("writing workbooks needs openpyxl") from missing
-    import pandas as pd
-
-    with pd.ExcelWriter(path) as book:
-        for name, df in sheets.items():
-            rows = df.limit(most + 1).toPandas()
-            if len(rows) > most:
-                raise ValueError(f"sheet {name} has more than {most} rows; write a table instead")
-            rows.to_excel(book, sheet_name=name[:31], index=False)
+def excel(sheets: dict[str, DataFrame], path: str, skip_empty: tuple[str, ...] = ()) -> None:
+    """One Excel file with a sheet for each table; the named sheets only if they have rows."""
+    from ..sources.workbooks import write_workbook
+
+    write_workbook({name: df for name, df in sheets.items() if name not in skip_empty or not df.isEmpty()}, path)
 
 
 def csv(df: DataFrame, path: str) -> None:

@@ -17,17 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PART = "part int, file string, first_id long, last_id long, n long, dims int"
-
+from ..sources.places import place
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+PART = "part int, file string, first_id long, last_id long, n long, dims int"
 
 
 def _header(rows: int, dims: int | None, kind: str) -> bytes:
@@ -38,13 +33,13 @@ def _header(rows: int, dims: int | None, kind: str) -> bytes:
 
 def write_matrix(vectors: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None) -> dict:
     """Writes the vectors and returns the manifest. Rows without id or vector have no place in a matrix; other lengths than the first's are an error."""
-    files, root = _place(folder)
+    files, root = place(folder)
     files.create_dir(root, recursive=True)
     held = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     dealt = (held.repartitionByRange(parts, "id") if parts else held.repartitionByRange("id")).sortWithinPartitions("id", "v").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, at = _place(folder)
+        local, at = place(folder)
         name, ids, n, dims, part, body = uuid.uuid4().hex, [], 0, None, None, None
         # vectors go out batch by batch; the header, which holds their number, has a fixed size and is joined with them at the end
         for batch in batches:
@@ -85,7 +80,7 @@ def write_matrix(vectors: DataFrame, folder: str, id_col: str = "vec_id", vector
 
 
 def read_manifest(folder: str) -> dict:
-    files, root = _place(folder)
+    files, root = place(folder)
     with files.open_input_stream(f"{root}/index.json") as held:
         return json.loads(held.read())
 
@@ -110,7 +105,7 @@ def read_matrix(spark: SparkSession, folder: str, rows: int = 4096) -> DataFrame
     dims = manifest["dims"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _place(folder)
+        files, root = place(folder)
         for batch in batches:
             for part in batch.to_pylist():
                 with files.open_input_file(f"{root}/{part['file']}.npy") as held, files.open_input_file(f"{root}/{part['file']}.ids.npy") as names:
@@ -130,7 +125,7 @@ def lookup(wanted: DataFrame, folder: str, id_col: str = "id") -> DataFrame:
     dims = manifest["dims"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _place(folder)
+        files, root = place(folder)
         open_file, name, ids = None, None, None
         for batch in batches:
             found = []

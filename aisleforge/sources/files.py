@@ -65,14 +65,10 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType, strict: b
 
 
 def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every sheet of an Excel file; needs openpyxl and pandas on the driver, as workbooks are small by format."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as missing:
-        raise RuntimeError("reading workbooks needs openpyxl") from missing
-    import pandas as pd
-
-    return {name: spark.createDataFrame(sheet) for name, sheet in pd.read_excel(path, sheet_name=None).items()}
+    """Every sheet of an Excel file as a table."""
+    from .workbooks import read_workbook, sheet_names
+
+    return {name: read_workbook(spark, path, name) for name in sheet_names(path)}
 
 
 def first_available(sources: dict[str, DataFrame], preferred: Iterable[str], column: str = "brand") -> tuple[str, DataFrame] | None:
