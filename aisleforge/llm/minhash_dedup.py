@@ -279,11 +279,13 @@ def _wide_signatures(texts: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in bt.blocks(batch.column("text")):
+            # WIDE minima a text take more than the text, so fewer texts at a time than for the narrow signature
+            for block in bt.blocks(batch.column("text"), BLOCK_BYTES * _HASHES // WIDE):
                 hashes, first = shingle_sets(block)
                 bits = packed_bits(minima(hashes, first, _WIDE_XOR, _WIDE_TIMES))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, WIDE // _PER_LONG, dtype=np.int32)), pa.array(bits.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column("cls").slice(block.lo, block.rows), lists], ["cls", "wide"])
+        bt.release()
 
     made = texts.select("cls", "text").mapInArrow(run, "cls long, wide array<long>")
     return made.join(classes.select("cls", F.col("bands").alias("marks")), "cls")
