@@ -246,7 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     lists = table["terms"].combine_chunks()
     texts = [np.asarray(lists[i].values) for *_, i in rows]
     forget(made)
-    return fit(texts, np.array([y for _, y, _ in rows]), share)
+    machine = fit(texts, np.array([y for _, y, _ in rows]), share)
+    del table, lists, texts, rows, per_bucket, bucket, of_pos, n
+    bt.release()  # the driver goes on after this
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
