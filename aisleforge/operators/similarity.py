@@ -11,7 +11,6 @@ qualifying pair must share:
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,17 +94,11 @@ def hamming_keys(hash_col: str, length: int, most: int, parts: int) -> list[Colu
 
 
 def hamming_parts(n: int, length: int, most: int) -> int:
-    """The number of parts with the least work for n hashes: their keys, and those that meet by chance on a key of so many characters."""
+    """The number of parts for n hashes: one more than may differ, so that a key is a whole part and there are fewest of them.
 
-    def work(parts: int) -> float:
-        sizes = [length * (p + 1) // parts - length * p // parts for p in range(parts)]
-        spare = most // parts
-        if min(sizes) <= spare:
-            return math.inf
-        keys = sum(math.comb(s, spare) for s in sizes)
-        return keys * (1 + n / 16 ** (min(sizes) - spare))
-
-    return min(range(1, min(most + 1, length) + 1), key=work)
+    Fewer parts have longer keys but many more, and where hashes share most characters each pair is then met on all of them.
+    """
+    return min(most + 1, length)
 
 
 def nibbles(hash_col: Column) -> Column:
