@@ -258,7 +258,7 @@ def test_toxicity_on_held_out_rows(spark):
     found = queries.op9_toxicity_fm(spark, d)
     joined = found.filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     counts = {(r[0], r[1]): r[2] for r in joined.groupBy("toxic", "predicted").count().collect()}
-    assert counts[1, 1] >= 0.8 * (counts[1, 1] + counts.get((1, 0), 0))
+    assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts.get((1, 0), 0))
     assert counts.get((0, 1), 0) <= 0.01 * counts[0, 0]
 
 
@@ -271,7 +271,7 @@ def test_machine_learns_a_pair_that_weights_cannot():
         texts.append(np.array([3] * int(a) + [5] * int(b) + [7], np.int32))
         labels.append(a != b)
     # the filter on single terms would drop both, so it is off
-    machine = toxicity_fm.fit(texts, np.array(labels), 0.5, least=-1, features=8, factors=4, epochs=60)
+    machine = toxicity_fm.fit(texts, np.array(labels), 0.5, least=-1, factors=4, epochs=60)
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     right = (machine.scores(np.concatenate(texts), first) >= 0.5) == np.array(labels)
     assert right.mean() > 0.95
@@ -297,6 +297,42 @@ def test_training_learns_a_pair_of_harmless_terms(spark):
     assert len(right) > 200 and sum(right) > 0.95 * len(right)
 
 
+def test_no_pair_of_a_term_ruled_out_is_over_the_bound():
+    """Every way of splitting up to 24 toxic and 24 other texts of a term stays under what its toxic ones reach."""
+    for a in range(25):
+        for b in range(25):
+            most = abs(float(toxicity_fm.contrast(np.array(a), np.array(a), np.array(0), np.array(b))))
+            p, q = np.meshgrid(np.arange(a + 1), np.arange(b + 1), indexing="ij")
+            z = np.abs(toxicity_fm.contrast(p, p + q, a - p, a + b - p - q))
+            assert z.max() <= max(most, 2.0) + 1e-9, (a, b)
+
+
+def test_paired_terms_by_blocks_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    labels = rng.random(400) < 0.4
+    # a hot term in a third of the texts, rare ones, and pairs that go with the label
+    texts = []
+    for y in labels:
+        held = set(np.flatnonzero(rng.random(30) < 0.2) * 1000)
+        held |= {40000, 41000} if y and rng.random() < 0.5 else {40000} if rng.random() < 0.3 else {41000} if rng.random() < 0.3 else set()
+        texts.append(np.array(sorted(held), np.int32))
+    over, want = 3.0, set()
+    terms = sorted({int(t) for x in texts for t in x})
+    has = {t: np.array([t in x for x in texts]) for t in terms}
+    for k, i in enumerate(terms):
+        for j in terms[k + 1 :]:
+            both = has[i] & has[j]
+            z = [float(toxicity_fm.contrast((both & labels).sum(), both.sum(), (only & labels).sum(), only.sum())) for only in (has[i] & ~both, has[j] & ~both)]
+            if z[0] * z[1] > 0 and min(map(abs, z)) > over:
+                want |= {i, j}
+    sample = toxicity_fm.Sample.of(texts, labels)
+    assert {40000, 41000} <= want
+    assert set(toxicity_fm.paired_terms(sample, over).tolist()) == want
+    assert set(toxicity_fm.paired_terms(sample, over, spark, step=7).tolist()) == want
+    none = toxicity_fm.Sample.of([], np.zeros(0, bool))
+    assert not len(toxicity_fm.paired_terms(none, over))
+
+
 def test_logits_are_the_double_sum():
     rng = np.random.default_rng(2)
     machine = toxicity_fm.Machine(np.zeros(1, np.int32), 0.3, rng.normal(size=9).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32))
@@ -313,14 +349,19 @@ def test_fit_equals_a_plain_trainer():
     texts = [np.flatnonzero(rng.random(6) < 0.5).astype(np.int32) for _ in range(300)]
     labels = np.array([(1 in t and 2 in t) or rng.random() < 0.05 for t in texts])
     share, factors, epochs, rate, l2 = float(labels.mean()), 3, 4, 0.2, 1e-4
-    machine = toxicity_fm.fit(texts, labels, share, least=-1, features=8, factors=factors, epochs=epochs, rate=rate, l2=l2)
+    machine = toxicity_fm.fit(texts, labels, share, least=-1, factors=factors, epochs=epochs, rate=rate, l2=l2)
     n = len(machine.w)
     place = {b: int(machine.place[b]) for b in range(6)}
     rows = [sorted(place[int(b)] for b in t if place[int(b)] >= 0) for t in texts]
     rng = np.random.default_rng(7)
-    w0, w, v = 0.0, np.zeros(n), rng.normal(0, 0.01, (n + 1, factors))[:n]
+    alone = np.zeros(n)
+    for b in range(6):
+        p, q = sum(b in t for t, y in zip(texts, labels) if y) + 0.5, sum(b in t for t, y in zip(texts, labels) if not y) + 0.5
+        odds = math.log(p / (labels.sum() + 1)) - math.log(q / ((~labels).sum() + 1))
+        alone[place[b]] = math.copysign(max(0, abs(odds) - math.sqrt(1 / p + 1 / q)), odds)
+    w0, w, v = math.log(share / (1 - share)), alone.copy(), rng.normal(0, 0.01, (n + 1, factors))[:n]
     g0, gw, gv = 1e-8, np.full(n, 1e-8), np.full((n, factors), 1e-8)
-    weight = {True: 0.5 / labels.sum() * len(labels), False: 0.5 / (~labels).sum() * len(labels)}
+    weight = {True: share / labels.sum() * len(labels), False: (1 - share) / (~labels).sum() * len(labels)}
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 256):
@@ -337,13 +378,13 @@ def test_fit_equals_a_plain_trainer():
             g0 += d0 * d0
             w0 -= rate * d0 / math.sqrt(g0)
             for a in used:
-                x, y = dw[a] + l2 * w[a], dv[a] + l2 * v[a]
+                x, y = dw[a] + l2 * (w[a] - alone[a]), dv[a] + l2 * v[a]
                 gw[a] += x * x
                 gv[a] += y * y
                 w[a] -= rate * x / math.sqrt(gw[a])
                 v[a] -= rate / 4 * y / np.sqrt(gv[a])
     assert n == 6 and np.allclose(machine.w, w, atol=1e-4) and np.allclose(machine.v, v, atol=1e-4)
-    assert machine.w0 == pytest.approx(w0 + math.log(share / (1 - share)), abs=1e-4)
+    assert machine.w0 == pytest.approx(w0, abs=1e-4)
 
 
 def test_nothing_to_tell_labels_by_gives_their_share(spark):
