@@ -51,8 +51,8 @@ def audit_workbook(spark, sf_dir):
     figures = [F.count("*").alias("n"), F.sum("facings").alias("facings")]
     sheets = {"All Findings": p, "Deduped Summary": p.groupBy(F.col("category").alias("name")).agg(*figures), "KPIs": p.agg(*figures).withColumn("name", F.lit("findings")), "Issues": p.filter("facings < 0")}
     path = f"{fresh_folder(spark, 'audit')}/book.xlsx"
-    sinks.excel(sheets, path, skip_empty=("Issues",))
-    found = files.workbook(spark, path)
+    sinks.excel(sheets, path, skip_empty=("Issues",), split=True)
+    found = files.workbook(spark, path, joined=True)
     summed = found["All Findings"].groupBy(F.col("brand").alias("name")).agg(F.count("*").cast("double").alias("n"), F.sum("facings").alias("facings"))
     parts = {**{k: v.select("name", "n", "facings") for k, v in found.items() if k != "All Findings"}, "All Findings": summed}
     return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("sheet"), "name", "n", "facings") for k, df in parts.items()])

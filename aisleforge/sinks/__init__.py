@@ -20,11 +20,11 @@ def workbook(sheets: dict[str, DataFrame], folder: str, form: str = "parquet", s
     return made
 
 
-def excel(sheets: dict[str, DataFrame], path: str, skip_empty: tuple[str, ...] = ()) -> None:
-    """One Excel file with a sheet for each table; the named sheets only if they have rows."""
+def excel(sheets: dict[str, DataFrame], path: str, skip_empty: tuple[str, ...] = (), split: bool = False) -> None:
+    """One Excel file with a sheet for each table, with `split` as many as its rows need; the named sheets only if they have rows."""
     from ..sources.workbooks import write_workbook
 
-    write_workbook({name: df for name, df in sheets.items() if name not in skip_empty or not df.isEmpty()}, path)
+    write_workbook({name: df for name, df in sheets.items() if name not in skip_empty or not df.isEmpty()}, path, split)
 
 
 def csv(df: DataFrame, path: str) -> None:

@@ -64,11 +64,21 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType, strict: b
     return spark.read.schema(marked).option("multiLine", True).option("mode", "PERMISSIVE").json(path).filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every sheet of an Excel file as a table."""
-    from .workbooks import read_workbook, sheet_names
-
-    return {name: read_workbook(spark, path, name) for name in sheet_names(path)}
+def workbook(spark: SparkSession, path: str, joined: bool = False) -> dict[str, DataFrame]:
+    """Every sheet of an Excel file as a table; with `joined` those that a table was split into are one again."""
+    from .workbooks import numbered, read_workbook, sheet_names
+
+    names, found, parts = sheet_names(path), {}, set()
+    for name in names:
+        if name in parts:
+            continue
+        found[name] = read_workbook(spark, path, name)
+        k = 2
+        while joined and numbered(name, k) in names:
+            found[name] = found[name].unionByName(read_workbook(spark, path, numbered(name, k), found[name].schema))
+            parts.add(numbered(name, k))
+            k += 1
+    return found
 
 
 def first_available(sources: dict[str, DataFrame], preferred: Iterable[str], column: str = "brand") -> tuple[str, DataFrame] | None:

@@ -229,36 +229,65 @@ def _parts(df: DataFrame, folder: str) -> list[tuple[str, int]]:
     simple = (T.StringType, T.BooleanType, T.NumericType)
     held = df.select(F.spark_partition_id().alias("__part"), *[F.col(f"`{f.name}`").cast("double" if isinstance(f.dataType, T.DecimalType) else f.dataType) if isinstance(f.dataType, simple) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])
 
+    most = min(RANGE, MOST_ROWS - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = place(folder)
-        name, part, n, out = uuid.uuid4().hex, None, 0, None
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(0)[0].as_py()
-                out = files.open_output_stream(f"{at}/{name}") if out is None else out
-                columns = [batch.column(k).to_pylist() for k in range(1, batch.num_columns)]
+        name, part, k, n, out = "", None, 0, 0, None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["part", "k", "file", "n"])
+
+        for whole in batches:
+            lo = 0
+            while lo < whole.num_rows:
+                if out is None:
+                    name = uuid.uuid4().hex
+                    part, n, out = whole.column(0)[0].as_py(), 0, files.open_output_stream(f"{at}/{name}")
+                batch = whole.slice(lo, most - n)
+                columns = [batch.column(c).to_pylist() for c in range(1, batch.num_columns)]
                 out.write("".join(f"<row>{''.join(map(_cell, row))}</row>" for row in zip(*columns, strict=True)).encode() if columns else b"<row/>" * batch.num_rows)
-                n += batch.num_rows
+                n, lo = n + batch.num_rows, lo + batch.num_rows
+                if n == most:
+                    yield closed()
+                    k, out = k + 1, None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["part", "file", "n"])
+            yield closed()
+
+    return [(r["file"], r["n"]) for r in sorted(held.mapInArrow(run, "part int, k int, file string, n long").collect())]  # a row per task and RANGE rows
+
+
+def _sheets(name: str, parts: list[tuple[str, int]], split: bool) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """The sheet of a table, or with `split` as many as its rows need: further ones are named by their number."""
+    if not split and sum(n for _, n in parts) + 1 > MOST_ROWS:
+        raise ValueError(f"sheet {name} has more than {MOST_ROWS - 1} rows; write a table instead")
+    k, own = 1, []
+    for part in parts:
+        if own and sum(n for _, n in own) + part[1] + 1 > MOST_ROWS:
+            yield (name[:31] if k == 1 else numbered(name, k)), own
+            k, own = k + 1, []
+        own.append(part)
+    yield (name[:31] if k == 1 else numbered(name, k)), own
+
 
-    return [(r["file"], r["n"]) for r in sorted(held.mapInArrow(run, "part int, file string, n long").collect())]  # a row per task
+def numbered(name: str, k: int) -> str:
+    """The name of a table's sheet k."""
+    return f"{name[: 31 - len(f' ({k})')]} ({k})"
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+def write_workbook(sheets: dict[str, DataFrame], path: str, split: bool = False) -> None:
     """One workbook with a sheet for each table, its columns' names in the first row; rows keep the order of their partitions.
 
-    Dates, times and nested values are written as text. More rows than a sheet can have are an error.
+    Dates, times and nested values are written as text. More rows than a sheet can have are an error, or with
+    `split` go on in further sheets.
     """
     files, at = place(path)
     folder = f"{at}.parts-{uuid.uuid4().hex}"
     files.create_dir(folder, recursive=True)  # and with it the folder of the workbook
     try:
-        listed = {name[:31]: (df.columns, _parts(df, f"{path}.parts-{folder.rsplit('-', 1)[1]}")) for name, df in sheets.items()}
-        for name, (_, parts) in listed.items():
-            if sum(n for _, n in parts) + 1 > MOST_ROWS:
-                raise ValueError(f"sheet {name} has more than {MOST_ROWS - 1} rows; write a table instead")
+        written = {name: (df.columns, _parts(df, f"{path}.parts-{folder.rsplit('-', 1)[1]}")) for name, df in sheets.items()}
+        listed = {sheet: (columns, own) for name, (columns, parts) in written.items() for sheet, own in _sheets(name, parts, split)}
         numbers = range(1, len(listed) + 1)
         spaces = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
         package = "http://schemas.openxmlformats.org/package/2006"

@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from aisleforge.sources import files
 from aisleforge.sources import workbooks as W
 
 TEXTS = ["plain", "", " two  spaces ", "a<b>&\"c'", "line\nbreak\r\nand tab\t", "\x00\x07\x1f bell", "_x0041_ not coded", "ไทย \U0001f600", "0012", "x" * 5000]
@@ -49,3 +50,12 @@ def test_more_rows_than_a_sheet_has_are_an_error(spark, tmp_path, monkeypatch):
         W.write_workbook({"s": spark.range(10)}, str(tmp_path / "long.xlsx"))
     W.write_workbook({"s": spark.range(9)}, str(tmp_path / "fits.xlsx"))
     assert W.read_workbook(spark, str(tmp_path / "fits.xlsx")).count() == 9
+
+
+def test_a_long_table_goes_on_in_further_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "MOST_ROWS", 10)
+    path = str(tmp_path / "long.xlsx")
+    W.write_workbook({"s": spark.range(100).repartition(3), "t": spark.range(3)}, path, split=True)
+    assert len(W.sheet_names(path)) >= 13 and W.sheet_names(path)[:2] == ["s", "s (2)"]
+    found = files.workbook(spark, path, joined=True)
+    assert list(found) == ["s", "t"] and sorted(r.id for r in found["s"].collect()) == list(range(100)) and found["t"].count() == 3
