@@ -6,6 +6,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +37,32 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
+#: Texts that are made strings at a time.
+TEXTS = 64
+
+
+def _normalized(text: pa.Array, form: str, strip: bool = False) -> pa.Array:
+    """Texts in a normal form, few at a time, so that a worker holds a batch as bytes and not as strings; null becomes empty."""
+
+    def made(value: str | None) -> str:
+        value = value or ""
+        found = value if value.isascii() else unicodedata.normalize(form, value)
+        return found.strip() if strip else found
+
+    parts = [pa.array([made(t) for t in text.slice(at, TEXTS).to_pylist()], pa.string()) for at in range(0, len(text), TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
     """Canonical composition, trimmed; null becomes empty. Spark has no function for it."""
-    return text.fillna("").map(lambda t: unicodedata.normalize("NFC", t).strip())
+    return _normalized(text, "NFC", True)
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkd(text: pa.Array) -> pa.Array:
     """Compatibility decomposition; null becomes empty."""
-    return text.fillna("").map(lambda t: unicodedata.normalize("NFKD", t))
+    return _normalized(text, "NFKD")
 
 
 @F.pandas_udf(T.DoubleType())
