@@ -72,12 +72,11 @@ def workbook(spark: SparkSession, path: str, joined: bool = False) -> dict[str,
     for name in names:
         if name in parts:
             continue
-        found[name] = read_workbook(spark, path, name)
-        k = 2
-        while joined and numbered(name, k) in names:
-            found[name] = found[name].unionByName(read_workbook(spark, path, numbered(name, k), found[name].schema))
-            parts.add(numbered(name, k))
-            k += 1
+        own = [name]
+        while joined and numbered(name, len(own) + 1) in names:
+            own.append(numbered(name, len(own) + 1))
+        found[name] = read_workbook(spark, path, own)
+        parts.update(own)
     return found
 
 

@@ -1,8 +1,9 @@
 """Excel workbooks as a Spark data source, and written by parallel tasks; neither needs a library for workbooks.
 
-A workbook is a zip archive of XML.  Reading cuts a sheet into ranges of rows: each task streams the sheet's XML, passes over the rows
-before its range and stops after it, so no process holds a sheet.  Writing turns partitions into parts of a sheet's
-XML on the executors; the driver only copies their bytes into the archive, a few megabytes at a time.
+A workbook is a zip archive of XML.  Writing turns partitions into parts of a sheet's XML on the executors, each deflated on its own;
+the driver only copies their bytes into the archive, a few megabytes at a time, and notes in the comment of the archive's entry
+where ranges of rows begin.  Reading such a sheet, a task starts at its own range.  Of a sheet made elsewhere each task
+streams the XML, passes over the rows before its range and stops after it; no process holds a sheet.
 
 Texts may hold any character: those XML cannot carry are written as _xHHHH_, as spreadsheets do.
 """
@@ -11,15 +12,20 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import json
 import re
+import struct
 import uuid
 import zipfile
-from collections.abc import Iterator
-from typing import Any
+import zlib
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +39,19 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 MOST_ROWS = 1_048_576
 DAY_ZERO = datetime.datetime(1899, 12, 30)
 
-#: Rows of a sheet that a task reads, and rows by which types are told.
-RANGE, SAMPLE = 50_000, 1000
+#: Rows of a sheet that a task reads, rows by which types are told, bytes read at a time, how hard is deflated.
+RANGE, SAMPLE, CHUNK, LEVEL = 50_000, 1000, 1 << 20, 3
+#: What the comment of a sheet with noted ranges begins with; types of columns that are handed over as Arrow arrays.
+NOTED = b"ranges "
+ARROW = {T.StringType(): pa.string(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
 _CODED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _ODD = re.compile(r"[\x00-\x08\x0b-\x1f￾￿]")
+# texts with none of these are written as they are
+_LOOKED_AT = r"[&<>\x00-\x08\x0b-\x1f\x{FFFE}\x{FFFF}]|_x[0-9A-Fa-f]{4}_"
 
 
 def _decoded(value: str) -> str:
-    return _CODED.sub(lambda m: chr(int(m[1], 16)), value)
+    return _CODED.sub(lambda m: chr(int(m[1], 16)), value) if "_x" in value else value
 
 
 def _encoded(value: str) -> str:
@@ -62,7 +73,8 @@ class Archive:
 
     def __init__(self, path: str):
         files, at = place(path)
-        self.zip = zipfile.ZipFile(files.open_input_file(at))
+        self.file = files.open_input_file(at)
+        self.zip = zipfile.ZipFile(self.file)
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         self.sheets = {s.get("name"): self._path(links[s.get(f"{LINK}id")]) for s in book.iter(f"{MAIN}sheet")}
@@ -94,6 +106,26 @@ class Archive:
                     return None
         return None
 
+    def ranges(self, sheet: str) -> list[tuple[int, int, int, int]]:
+        """First row, number of rows, place and bytes of each range that the writer noted; none of sheets made elsewhere."""
+        noted = self.zip.getinfo(self.sheets[sheet]).comment
+        return [tuple(map(int, r.split(b":"))) for r in noted.removeprefix(NOTED).split()] if noted.startswith(NOTED) else []
+
+    def range(self, sheet: str, at: int, size: int) -> Iterator[list[ElementTree.Element]]:
+        """The rows of a noted range, some at a time."""
+        info, held = self.zip.getinfo(self.sheets[sheet]), self.file
+        held.seek(info.header_offset + 26)
+        held.seek(info.header_offset + 30 + sum(struct.unpack("<HH", held.read(4))) + at)
+        unpacked, rest, kept = zlib.decompressobj(-15), size, b""
+        while rest or unpacked.unconsumed_tail:
+            packed = unpacked.unconsumed_tail or held.read(min(rest, CHUNK))
+            rest -= 0 if unpacked.unconsumed_tail else len(packed)
+            kept += unpacked.decompress(packed, CHUNK)
+            end = max(kept.rfind(b"</row>"), kept.rfind(b"<row/>")) + 6
+            if end > 5:
+                yield list(ElementTree.fromstring(b'<s xmlns="%s">%s</s>' % (MAIN[1:-1].encode(), kept[:end])))
+                kept = kept[end:]
+
     def rows(self, sheet: str, first: int = 1, last: int | None = None) -> Iterator[tuple[int, list[Any]]]:
         """Number and values of the rows from first to last; missing cells are None, texts, numbers and truth values are themselves."""
         texts, number, root = None, 0, None
@@ -151,46 +183,74 @@ def _as(value: Any, kind: T.DataType) -> Any:
 
 
 class RowRange(InputPartition):
-    def __init__(self, first: int, last: int | None):
-        self.first, self.last = first, last
+    """Rows first to last of a sheet; where its ranges are noted, in the one that starts with row `start` at a place of some bytes."""
+
+    def __init__(self, sheet: str, first: int, last: int | None, start: int = 0, at: int = 0, size: int = 0):
+        self.sheet, self.first, self.last, self.start, self.at, self.size = sheet, first, last, start, at, size
 
 
 class WorkbookReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str, schema: T.StructType, rows: int):
-        self.path, self.sheet, self.schema, self.size = path, sheet, schema, rows
+    def __init__(self, path: str, sheets: list[str], schema: T.StructType, rows: int):
+        self.path, self.sheets, self.schema, self.size = path, sheets, schema, rows
 
     def partitions(self) -> list[RowRange]:
-        last = Archive(self.path).extent(self.sheet)
+        archive = Archive(self.path)
+        return [part for sheet in self.sheets for part in self._parts(archive, sheet)]
+
+    def _parts(self, archive: Archive, sheet: str) -> list[RowRange]:
+        last = archive.extent(sheet)
         if last is None:
-            return [RowRange(2, None)]
+            return [RowRange(sheet, 2, None)]
+        noted = archive.ranges(sheet)
+        if noted:
+            return [RowRange(sheet, lo, min(lo + self.size, first + n) - 1, first, at, size) for first, n, at, size in noted for lo in range(first, first + n, self.size)]
         starts = list(range(2, max(last, 2) + 1, self.size))
         # the last range is open, should the sheet have more rows than it states
-        return [RowRange(lo, None if lo == starts[-1] else lo + self.size - 1) for lo in starts]
+        return [RowRange(sheet, lo, None if lo == starts[-1] else lo + self.size - 1) for lo in starts]
 
-    def read(self, partition: RowRange) -> Iterator[tuple]:
+    def read(self, partition: RowRange) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         archive = Archive(self.path)
-        header = {str(name): k for k, name in enumerate(next(archive.rows(self.sheet, 1, 1), (1, []))[1]) if name is not None}
+        header = {str(name): k for k, name in enumerate(next(archive.rows(partition.sheet, 1, 1), (1, []))[1]) if name is not None}
         wanted = [(header.get(f.name), f.dataType) for f in self.schema.fields]
-        for _, values in archive.rows(self.sheet, partition.first, partition.last):
-            yield tuple(_as(values[k], kind) if k is not None and k < len(values) else None for k, kind in wanted)
+        if not partition.start:
+            for _, values in archive.rows(partition.sheet, partition.first, partition.last):
+                yield tuple(_as(values[k], kind) if k is not None and k < len(values) else None for k, kind in wanted)
+            return
+        number = partition.start
+        whole = wanted and all(kind in ARROW for _, kind in wanted)
+        for rows in archive.range(partition.sheet, partition.at, partition.size):
+            own = rows[max(0, partition.first - number) : max(0, partition.last + 1 - number)]
+            number += len(rows)
+            # the writer leaves no cell out, so a cell's place is its column's
+            columns = [[None if k is None else _as(_value(row[k], None), kind) for row in own] for k, kind in wanted]
+            if whole and own:
+                yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, wanted, strict=True)], self.schema.names)
+            elif not whole:
+                yield from zip(*columns, strict=True) if columns else ((),) * len(own)
+            if number > partition.last:
+                return
 
 
 class WorkbookSource(DataSource):
-    """format("workbook"): options path, sheet (the first by default) and rows (of a task). The first row names the columns, which a schema picks by name."""
+    """format("workbook"): options path, sheet (the first by default) or sheets (a JSON list of those one table goes on in, told by the first) and rows (of a task).
+
+    The first row names the columns, which a schema picks by name.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
-    def _sheet(self) -> str:
+    def _sheets(self) -> list[str]:
         sheets = list(Archive(self.options["path"]).sheets)
-        wanted = self.options.get("sheet", sheets[0] if sheets else None)
-        if wanted not in sheets:
-            raise ValueError(f"no sheet {wanted} among {sheets}")
+        wanted = json.loads(self.options["sheets"]) if "sheets" in self.options else [self.options["sheet"]] if "sheet" in self.options else sheets[:1] or [None]
+        for name in wanted:
+            if name not in sheets:
+                raise ValueError(f"no sheet {name} among {sheets}")
         return wanted
 
     def schema(self) -> T.StructType:
-        rows = [values for _, values in itertools.islice(Archive(self.options["path"]).rows(self._sheet()), SAMPLE + 1)]
+        rows = [values for _, values in itertools.islice(Archive(self.options["path"]).rows(self._sheets()[0]), SAMPLE + 1)]
         fields = []
         for k, name in enumerate(rows[0] if rows else []):
             kinds = {type(values[k]) for values in rows[1:] if k < len(values) and values[k] is not None}
@@ -199,14 +259,15 @@ class WorkbookSource(DataSource):
         return T.StructType(fields)
 
     def reader(self, schema: T.StructType) -> WorkbookReader:
-        return WorkbookReader(self.options["path"], self._sheet(), schema, int(self.options.get("rows", RANGE)))
+        return WorkbookReader(self.options["path"], self._sheets(), schema, int(self.options.get("rows", RANGE)))
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str | None = None, schema: T.StructType | str | None = None, rows: int = RANGE) -> DataFrame:
-    """A sheet as a table. Without a schema, columns of numbers are doubles and those of truth values booleans, by the first SAMPLE rows."""
+def read_workbook(spark: SparkSession, path: str, sheet: str | list[str] | None = None, schema: T.StructType | str | None = None, rows: int = RANGE) -> DataFrame:
+    """A sheet, or those that one table goes on in, as a table. Without a schema, columns of numbers are doubles and those of truth values booleans, by the first SAMPLE rows."""
     spark.dataSource.register(WorkbookSource)
     source = spark.read.format("workbook").option("path", path).option("rows", rows)
-    source = source.option("sheet", sheet) if sheet is not None else source
+    if sheet is not None:
+        source = source.option("sheet", sheet) if isinstance(sheet, str) else source.option("sheets", json.dumps(sheet))
     return (source.schema(schema) if schema is not None else source).load()
 
 
@@ -224,8 +285,42 @@ def _cell(value: Any) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{_encoded(value)}</t></is></c>'
 
 
-def _parts(df: DataFrame, folder: str) -> list[tuple[str, int]]:
-    """Writes each partition's rows as XML beside the others; file and number of rows of each, in the partitions' order."""
+def _cells(column: pa.Array) -> pa.Array:
+    """`_cell` of each value, by columns where nothing needs a look of its own."""
+    kind, wide = column.type, pa.large_string()
+    if pa.types.is_boolean(kind):
+        before, text, after = '<c t="b"><v>', pc.if_else(column, "1", "0").cast(wide), "</v></c>"
+    elif pa.types.is_integer(kind):
+        before, text, after = "<c><v>", column.cast(wide), "</v></c>"
+    elif pa.types.is_string(kind) and not pc.any(pc.match_substring_regex(column, _LOOKED_AT)).as_py():
+        before, text, after = '<c t="inlineStr"><is><t xml:space="preserve">', column.cast(wide), "</t></is></c>"
+    else:
+        return pa.array([_cell(v) for v in column.to_pylist()], wide)
+    return pc.fill_null(pc.binary_join_element_wise(pa.scalar(before, wide), text, pa.scalar(after, wide), pa.scalar("", wide)), "<c/>")
+
+
+def _xml(batch: pa.RecordBatch, columns: list[int]) -> bytes | pa.Buffer:
+    """The rows of a batch."""
+    if not columns or not batch.num_rows:
+        return b"<row/>" * batch.num_rows
+    wide = pa.large_string()
+    rows = pc.binary_join_element_wise(pa.scalar("<row>", wide), *[_cells(batch.column(c)) for c in columns], pa.scalar("</row>", wide), pa.scalar("", wide))
+    ends = np.frombuffer(rows.buffers()[1], np.int64)
+    return rows.buffers()[2].slice(int(ends[rows.offset]), int(ends[rows.offset + len(rows)] - ends[rows.offset]))
+
+
+class Part(NamedTuple):
+    """A file of deflated rows that ends at a whole byte and needs nothing before it: rows, bytes, bytes before deflating, and their CRC."""
+
+    file: str
+    n: int
+    packed: int
+    size: int
+    crc: int
+
+
+def _parts(df: DataFrame, folder: str) -> list[Part]:
+    """Writes each partition's rows as deflated XML beside the others; a part for each file, in the partitions' order."""
     simple = (T.StringType, T.BooleanType, T.NumericType)
     held = df.select(F.spark_partition_id().alias("__part"), *[F.col(f"`{f.name}`").cast("double" if isinstance(f.dataType, T.DecimalType) else f.dataType) if isinstance(f.dataType, simple) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])
 
@@ -233,21 +328,25 @@ def _parts(df: DataFrame, folder: str) -> list[tuple[str, int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = place(folder)
-        name, part, k, n, out = "", None, 0, 0, None
+        name, part, k, n, packed, size, crc, out, deflate = "", None, 0, 0, 0, 0, 0, None, None
 
         def closed() -> pa.RecordBatch:
+            last = deflate.flush(zlib.Z_FULL_FLUSH)
+            out.write(last)
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], ["part", "k", "file", "n"])
+            made = {"part": part, "k": k, "file": name, "n": n, "packed": packed + len(last), "size": size, "crc": crc}
+            return pa.RecordBatch.from_pylist([made], pa.schema([("part", pa.int32()), ("k", pa.int32()), ("file", pa.string()), *[(c, pa.int64()) for c in ("n", "packed", "size", "crc")]]))
 
         for whole in batches:
             lo = 0
             while lo < whole.num_rows:
                 if out is None:
-                    name = uuid.uuid4().hex
-                    part, n, out = whole.column(0)[0].as_py(), 0, files.open_output_stream(f"{at}/{name}")
+                    name, deflate = uuid.uuid4().hex, zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+                    part, n, packed, size, crc, out = whole.column(0)[0].as_py(), 0, 0, 0, 0, files.open_output_stream(f"{at}/{name}")
                 batch = whole.slice(lo, most - n)
-                columns = [batch.column(c).to_pylist() for c in range(1, batch.num_columns)]
-                out.write("".join(f"<row>{''.join(map(_cell, row))}</row>" for row in zip(*columns, strict=True)).encode() if columns else b"<row/>" * batch.num_rows)
+                made = _xml(batch, list(range(1, batch.num_columns)))
+                crc, size = zlib.crc32(made, crc), size + len(made)
+                packed += out.write(deflate.compress(made))
                 n, lo = n + batch.num_rows, lo + batch.num_rows
                 if n == most:
                     yield closed()
@@ -255,19 +354,75 @@ def _parts(df: DataFrame, folder: str) -> list[tuple[str, int]]:
         if out is not None:
             yield closed()
 
-    return [(r["file"], r["n"]) for r in sorted(held.mapInArrow(run, "part int, k int, file string, n long").collect())]  # a row per task and RANGE rows
+    rows = held.mapInArrow(run, "part int, k int, file string, n long, packed long, size long, crc long").collect()  # a row per task and RANGE rows
+    return [Part(*r[2:]) for r in sorted(rows)]
+
 
+def _joined_crc(first: int, second: int, size: int) -> int:
+    """The CRC of two texts one after the other, from both of theirs and the second's bytes: the first's goes through as many zeros."""
 
-def _sheets(name: str, parts: list[tuple[str, int]], split: bool) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    def times(matrix: list[int], vector: int) -> int:
+        found = 0
+        for column in matrix:
+            if vector & 1:
+                found ^= column
+            vector >>= 1
+        return found
+
+    matrix = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+    bits = size * 8
+    while bits:
+        if bits & 1:
+            first = times(matrix, first)
+        matrix = [times(matrix, column) for column in matrix]
+        bits >>= 1
+    return first ^ second
+
+
+def _add_sheet(book: zipfile.ZipFile, entry: str, head: bytes, parts: list[Part], tail: bytes, read: Callable[[str], Iterator[bytes]]) -> None:
+    """An entry of deflated parts, whose bytes are copied as they are, with a head and a tail; ranges of about RANGE rows are noted."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    first = deflate.compress(head) + deflate.flush(zlib.Z_FULL_FLUSH)
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    last = deflate.compress(tail) + deflate.flush()
+    info = zipfile.ZipInfo(entry)
+    info.compress_type, info.CRC = zipfile.ZIP_DEFLATED, zlib.crc32(head)
+    row, at, ranges = 2, len(first), []
+    for part in parts:
+        if ranges and ranges[-1][1] + part.n <= RANGE:
+            ranges[-1][1] += part.n
+            ranges[-1][3] += part.packed
+        else:
+            ranges.append([row, part.n, at, part.packed])
+        row, at, info.CRC = row + part.n, at + part.packed, _joined_crc(info.CRC, part.crc, part.size)
+    info.CRC = _joined_crc(info.CRC, zlib.crc32(tail), len(tail))
+    info.compress_size, info.file_size = at + len(last), len(head) + sum(p.size for p in parts) + len(tail)
+    noted = NOTED + " ".join(":".join(map(str, r)) for r in ranges).encode()
+    info.comment = noted if len(noted) < 1 << 16 else b""
+    # the archive's own writer would inflate and deflate everything on the driver
+    info.header_offset = book.fp.tell()
+    book.fp.write(info.FileHeader(zip64=True))
+    book.fp.write(first)
+    for part in parts:
+        for chunk in read(part.file):
+            book.fp.write(chunk)
+    book.fp.write(last)
+    book.start_dir = book.fp.tell()
+    book.filelist.append(info)
+    book.NameToInfo[entry] = info
+
+
+def _sheets(name: str, parts: list[Part], split: bool) -> Iterator[tuple[str, list[Part]]]:
     """The sheet of a table, or with `split` as many as its rows need: further ones are named by their number."""
-    if not split and sum(n for _, n in parts) + 1 > MOST_ROWS:
+    if not split and sum(p.n for p in parts) + 1 > MOST_ROWS:
         raise ValueError(f"sheet {name} has more than {MOST_ROWS - 1} rows; write a table instead")
-    k, own = 1, []
+    k, own, rows = 1, [], 1
     for part in parts:
-        if own and sum(n for _, n in own) + part[1] + 1 > MOST_ROWS:
+        if own and rows + part.n > MOST_ROWS:
             yield (name[:31] if k == 1 else numbered(name, k)), own
-            k, own = k + 1, []
+            k, own, rows = k + 1, [], 1
         own.append(part)
+        rows += part.n
     yield (name[:31] if k == 1 else numbered(name, k)), own
 
 
@@ -285,6 +440,12 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, split: bool = False)
     files, at = place(path)
     folder = f"{at}.parts-{uuid.uuid4().hex}"
     files.create_dir(folder, recursive=True)  # and with it the folder of the workbook
+
+    def copied(name: str) -> Iterator[bytes]:
+        with files.open_input_stream(f"{folder}/{name}") as held:
+            while chunk := held.read(1 << 22):
+                yield chunk
+
     try:
         written = {name: (df.columns, _parts(df, f"{path}.parts-{folder.rsplit('-', 1)[1]}")) for name, df in sheets.items()}
         listed = {sheet: (columns, own) for name, (columns, parts) in written.items() for sheet, own in _sheets(name, parts, split)}
@@ -299,12 +460,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, split: bool = False)
             book.writestr("xl/workbook.xml", f"<workbook {spaces}><sheets>" + "".join(f'<sheet name={quoteattr(name)} sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(numbers, listed, strict=True)) + "</sheets></workbook>")
             book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{relation}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>")
             for k, (columns, parts) in zip(numbers, listed.values(), strict=True):
-                with book.open(f"xl/worksheets/sheet{k}.xml", "w", force_zip64=True) as sheet:
-                    sheet.write(f'<worksheet {spaces}><dimension ref="A1:A{1 + sum(n for _, n in parts)}"/><sheetData><row>{"".join(map(_cell, columns))}</row>'.encode())
-                    for name, _ in parts:
-                        with files.open_input_stream(f"{folder}/{name}") as held:
-                            while chunk := held.read(1 << 22):
-                                sheet.write(chunk)
-                    sheet.write(b"</sheetData></worksheet>")
+                head = f'<worksheet {spaces}><dimension ref="A1:A{1 + sum(p.n for p in parts)}"/><sheetData><row>{"".join(map(_cell, columns))}</row>'
+                _add_sheet(book, f"xl/worksheets/sheet{k}.xml", head.encode(), parts, b"</sheetData></worksheet>", copied)
     finally:
         files.delete_dir(folder)

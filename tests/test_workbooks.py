@@ -59,3 +59,29 @@ def test_a_long_table_goes_on_in_further_sheets(spark, tmp_path, monkeypatch):
     assert len(W.sheet_names(path)) >= 13 and W.sheet_names(path)[:2] == ["s", "s (2)"]
     found = files.workbook(spark, path, joined=True)
     assert list(found) == ["s", "t"] and sorted(r.id for r in found["s"].collect()) == list(range(100)) and found["t"].count() == 3
+
+
+def test_a_task_starts_at_its_own_range(spark, tmp_path, monkeypatch):
+    """Every range of rows was reached by reading all rows before it, and the driver deflated all sheets alone."""
+    monkeypatch.setattr(W, "RANGE", 40)
+    path = str(tmp_path / "book.xlsx")
+    rows = [(k, TEXTS[k % len(TEXTS)] if k % 7 else None, k / 8 if k % 5 else float("inf"), k % 2 == 0) for k in range(1000)]
+    W.write_workbook({"s": spark.createDataFrame(rows, "n long, text string, x double, flag boolean").repartition(6, "n").sortWithinPartitions("n")}, path)
+    with zipfile.ZipFile(path) as book:
+        assert book.testzip() is None  # lengths and checksums of the joined parts
+        assert book.getinfo("xl/worksheets/sheet1.xml").compress_type == zipfile.ZIP_DEFLATED
+    archive = W.Archive(path)
+    ranges = archive.ranges("s")
+    assert sum(n for _, n, _, _ in ranges) == 1000 and max(n for _, n, _, _ in ranges) <= 40
+    whole = [values for _, values in archive.rows("s", 2)]
+
+    def passed_over(self, sheet, first=1, last=None, read=W.Archive.rows):
+        assert last == 1, "rows before a range are read again"
+        return read(self, sheet, first, last)
+
+    schema = W.T._parse_datatype_string("n long, text string, x string, flag boolean")
+    monkeypatch.setattr(W.Archive, "rows", passed_over)
+    for size in (7, 40, 5000):
+        reader = W.WorkbookReader(path, ["s"], schema, size)
+        found = [[[*r.values()] for batch in reader.read(part) for r in batch.to_pylist()] for part in reader.partitions()]
+        assert [r for part in found for r in part] == [[int(n), text, W._as(x, schema["x"].dataType), flag] for n, text, x, flag in whole] and max(map(len, found)) <= size
