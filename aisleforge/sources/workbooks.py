@@ -111,8 +111,8 @@ class Archive:
         noted = self.zip.getinfo(self.sheets[sheet]).comment
         return [tuple(map(int, r.split(b":"))) for r in noted.removeprefix(NOTED).split()] if noted.startswith(NOTED) else []
 
-    def range(self, sheet: str, at: int, size: int) -> Iterator[list[ElementTree.Element]]:
-        """The rows of a noted range, some at a time."""
+    def range(self, sheet: str, at: int, size: int) -> Iterator[bytes]:
+        """The rows of a noted range as XML, some at a time."""
         info, held = self.zip.getinfo(self.sheets[sheet]), self.file
         held.seek(info.header_offset + 26)
         held.seek(info.header_offset + 30 + sum(struct.unpack("<HH", held.read(4))) + at)
@@ -123,7 +123,7 @@ class Archive:
             kept += unpacked.decompress(packed, CHUNK)
             end = max(kept.rfind(b"</row>"), kept.rfind(b"<row/>")) + 6
             if end > 5:
-                yield list(ElementTree.fromstring(b'<s xmlns="%s">%s</s>' % (MAIN[1:-1].encode(), kept[:end])))
+                yield kept[:end]
                 kept = kept[end:]
 
     def rows(self, sheet: str, first: int = 1, last: int | None = None) -> Iterator[tuple[int, list[Any]]]:
@@ -217,20 +217,54 @@ class WorkbookReader(DataSourceReader):
                 yield tuple(_as(values[k], kind) if k is not None and k < len(values) else None for k, kind in wanted)
             return
         number = partition.start
-        whole = wanted and all(kind in ARROW for _, kind in wanted)
-        for rows in archive.range(partition.sheet, partition.at, partition.size):
-            own = rows[max(0, partition.first - number) : max(0, partition.last + 1 - number)]
-            number += len(rows)
-            # the writer leaves no cell out, so a cell's place is its column's
-            columns = [[None if k is None else _as(_value(row[k], None), kind) for row in own] for k, kind in wanted]
-            if whole and own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, wanted, strict=True)], self.schema.names)
+        whole = wanted and all(k is not None and kind in ARROW for k, kind in wanted)
+        for held in archive.range(partition.sheet, partition.at, partition.size):
+            made = _arrays(held, len(header), wanted) if whole else None
+            if made is None:
+                rows = ElementTree.fromstring(b'<s xmlns="%s">%s</s>' % (MAIN[1:-1].encode(), held))
+                # the writer leaves no cell out, so a cell's place is its column's
+                made = [[None if k is None else _as(_value(row[k], None), kind) for row in rows] for k, kind in wanted]
+                n = len(rows)
+            else:
+                n = len(made[0])
+            lo, hi = max(0, partition.first - number), max(0, min(n, partition.last + 1 - number))
+            number += n
+            if whole and lo < hi:
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c, ARROW[kind])).slice(lo, hi - lo) for c, (_, kind) in zip(made, wanted, strict=True)], self.schema.names)
             elif not whole:
-                yield from zip(*columns, strict=True) if columns else ((),) * len(own)
+                yield from zip(*[c[lo:hi] for c in made], strict=True) if made else ((),) * (hi - lo)
             if number > partition.last:
                 return
 
 
+def _arrays(rows: bytes, width: int, wanted: list[tuple[int, T.DataType]]) -> list[pa.Array] | None:
+    """The wanted columns of rows as the writer makes them, of `width` cells each; None if a cell needs a look of its own."""
+    each = pc.split_pattern(pa.array([rows.removesuffix(b"</row>").decode()], pa.large_string()), "</row>").flatten()
+    # texts hold no <, so marks are marks
+    cells = pc.split_pattern(pc.replace_substring(pc.replace_substring(each, "<row>", ""), "<c/>", "<c></c>"), "</c>")
+    if pc.any(pc.not_equal(pc.list_value_length(cells), width + 1)).as_py():
+        return None
+    found = []
+    for k, kind in wanted:
+        cell = pc.list_element(cells, k)
+        before, after = ('<c t="inlineStr"><is><t xml:space="preserve">', "</t></is>") if kind == T.StringType() else ('<c t="b"><v>', "</v>") if kind == T.BooleanType() else ("<c><v>", "</v>")
+        none = pc.equal(cell, "<c>")
+        if not pc.all(pc.or_(none, pc.and_(pc.starts_with(cell, before), pc.ends_with(cell, after)))).as_py():
+            return None
+        text = pc.binary_replace_slice(pc.binary_replace_slice(cell.cast(pa.large_binary()), 0, len(before), b""), -len(after), 1 << 30, b"").cast(pa.large_string())
+        text = pc.if_else(none, pa.scalar(None, pa.large_string()), text)
+        if pc.any(pc.match_substring_regex(text, "&|_x|\r")).as_py():
+            return None
+        if kind in (T.LongType(), T.IntegerType()):
+            number = text.cast(pa.float64())
+            if not pc.all(pc.and_(pc.equal(number, pc.floor(number)), pc.less(pc.abs(number), 2.0**31))).as_py():
+                return None
+            found.append(number.cast(ARROW[kind]))
+        else:
+            found.append(pc.equal(text, "1") if kind == T.BooleanType() else text.cast(ARROW[kind]))
+    return [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found]
+
+
 class WorkbookSource(DataSource):
     """format("workbook"): options path, sheet (the first by default) or sheets (a JSON list of those one table goes on in, told by the first) and rows (of a task).
 
